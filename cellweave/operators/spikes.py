@@ -21,7 +21,7 @@ BLOCK, MARGIN = 8192, 512
 #: Standardised innovation from which a reading is far off.
 THRESHOLD = 6.0
 #: Share of the innovation that a settled filter takes up.
-GAIN = 0.08
+GAIN = 0.15
 #: A run of equal values is stuck from this length, or the length of which chance would bring less than CHANCE in a block.
 LEAST_RUN, CHANCE = 6, 0.1
 

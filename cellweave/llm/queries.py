@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import pii, quantiles, splits, tokens, topn
+from cellweave.llm import mix, pii, quantiles, splits, tokens, topn
 from cellweave.session import table
 
 FEATURES = ("link_area_ratio_median", "max_shrink_pct")
@@ -56,6 +56,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_values(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
 
@@ -68,7 +76,7 @@ def p9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), secret="example secret")
 
 
-QUERIES = {f.__name__: f for f in (p1_quantiles, p1_merged_quantiles, p5_found, p5_top3, p6_found, p6_splits, p7_ids, p9_found, p9_redacted, p9_surrogates)}
+QUERIES = {f.__name__: f for f in (p1_quantiles, p1_merged_quantiles, p5_found, p5_top3, p6_found, p6_splits, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted, p9_surrogates)}
 
 _VALUES = """
 WITH v AS (

@@ -37,7 +37,9 @@ def order_key(x: pd.Series) -> pd.Series:
 def key_value(k: pd.Series) -> pd.Series:
     """The double of an order key."""
     keys = k.to_numpy(np.int64)
-    return pd.Series(np.where(keys < 0, keys ^ np.int64(-(2**63)), ~keys).view(np.float64))
+    v = np.where(keys < 0, keys ^ np.int64(-(2**63)), ~keys).view(np.float64)
+    # the lower end of the digit that holds -inf lies among the NaNs
+    return pd.Series(np.where(np.isnan(v), -np.inf, v))
 
 
 def keyed(df: DataFrame, group: str, columns: Sequence[str], part: str | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def rendezvous(component: Column, salt: Column, splits: list[tuple[str, float]])
 
 
 def split_records(records: DataFrame, shares: list[tuple[str, float]], a: str = "dataset_id", b: str = "pair_id", tries: int = TRIES) -> DataFrame:
-    """records plus `component` and `split_name`. Records that share `a` or `b`, directly or through others, have one split.
+    """records plus `component` and `split_name`, in place of columns of that name. Records that share `a` or `b`, directly or through others, have one split.
 
     NULL joins nothing: a record without `a` belongs to the component of its `b`, one without both is a component by its
     content, so copies stay together. shares: (name, share), share > 0. Ties of a hash go to the name first in order.
@@ -57,14 +57,16 @@ def split_records(records: DataFrame, shares: list[tuple[str, float]], a: str =
     splits = sorted((n, s) for n, s in shares if s and s > 0)
     if not splits:
         raise ValueError("no split has a share")
-    of_a = Stored(entity_components(records, a, b)).df
-    links = records.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_b IS NOT NULL").groupBy("_b").agg(F.min("_a").alias("_a"))
-    of_b = Stored(links.join(of_a, F.col("_a") == F.col("entity"), "left").select(F.col("_b"), F.coalesce(F.concat(F.lit("a:"), "component"), F.concat(F.lit("b:"), "_b")).alias("_of_b"))).df
-    named = small_side(of_a.select(F.col("entity"), F.concat(F.lit("a:"), "component").alias("_of_a")))
-    own = F.concat(F.lit("r:"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in records.columns]).cast("string"))
-    with_a = records.where(F.col(a).isNotNull()).join(named, F.col(a) == F.col("entity"), "left").drop("entity").withColumnRenamed("_of_a", "component")
-    without = records.where(F.col(a).isNull())
-    without = without.join(of_b, F.col(b) == F.col("_b"), "left").withColumn("component", F.coalesce("_of_b", own)).drop("_b", "_of_b")
+    rows = records.drop("component", "split_name")
+    of_a = Stored(entity_components(rows, a, b)).df
+    links = rows.select(F.col(a).alias("_cw_a"), F.col(b).alias("_cw_b")).where("_cw_b IS NOT NULL").groupBy("_cw_b").agg(F.min("_cw_a").alias("_cw_a"))
+    joined = links.join(of_a, F.col("_cw_a") == F.col("entity"), "left")
+    of_b = Stored(joined.select("_cw_b", F.coalesce(F.concat(F.lit("a:"), F.col("component").cast("string")), F.concat(F.lit("b:"), F.col("_cw_b").cast("string"))).alias("_cw_component"))).df
+    named = small_side(of_a.select(F.col("entity").alias("_cw_entity"), F.concat(F.lit("a:"), F.col("component").cast("string")).alias("_cw_component")))
+    own = F.concat(F.lit("r:"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in rows.columns]).cast("string"))
+    with_a = rows.where(F.col(a).isNotNull()).join(named, F.col(a) == F.col("_cw_entity"), "left").drop("_cw_entity").withColumnRenamed("_cw_component", "component")
+    without = rows.where(F.col(a).isNull()).join(of_b, F.col(b) == F.col("_cw_b"), "left")
+    without = without.withColumn("component", F.coalesce("_cw_component", own)).drop("_cw_b", "_cw_component")
     placed = Stored(with_a.unionByName(without)).df
     weights = Stored(placed.groupBy("component").agg(F.count("*").alias("w"))).df
     salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))

@@ -354,9 +354,9 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_V
 
 
 def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """df without `text`, with `out`, the number of tokens of the text; 0 for a NULL or empty one."""
+    """df without `text`, with `out`, the number of tokens of the text, in place of a column of that name; 0 for a NULL or empty one."""
     shared = _shared(df, vocabulary)
-    others = [c for c in df.columns if c != text]
+    others = [c for c in df.columns if c not in (text, out)]
 
     def run(batches):
         enc = encoder_of(shared)

@@ -234,3 +234,8 @@ def test_surrogates_are_distinct(spark):
     out = pii.surrogates(spark.createDataFrame(rows, "kind STRING, canon STRING"), "secret").collect()
     assert len(out) == 400 and len({(x["kind"], x["surrogate"]) for x in out}) == 400
     assert not {(x["kind"], x["surrogate"]) for x in out} & set(rows)
+
+
+def test_labels_over_lines_of_html():
+    text = '<div>a</div>\n<p class="x">The badge office wants the social</p>\n<p class="x">security number of every guest. Mine: 977.38.7443</p>\n<div>Am Alten Wehr 180, Hinterhaus</div>\n'
+    assert [(k, text[a:b]) for a, b, k in pii.detect(text, LEX)] == [("id_number", "977.38.7443"), ("address", "Am Alten Wehr 180, Hinterhaus")]

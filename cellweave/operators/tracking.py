@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import ops
 from cellweave.functions.costs import EPS, TrackerParams, divide_cost, link_cost
-from cellweave.operators.components import components
 from cellweave.operators.positions import with_positions
 from cellweave.session import Stored
 
@@ -257,6 +256,19 @@ def _node(t: Column, label: Column) -> Column:
     return t.cast("bigint") * (1 << 31) + label
 
 
+def chain_starts(joins: DataFrame) -> DataFrame:
+    """(dataset_id, node, start) of joins(dataset_id, before, node): where each node's chain begins. Every round a node's pointer jumps
+    to its target's target, so a chain of n nodes takes log2(n) rounds. A node that two lead to follows the lesser."""
+    state = Stored(joins.groupBy("dataset_id", "node").agg(F.min("before").alias("start"))).df
+    while True:
+        onward = state.select("dataset_id", F.col("node").alias("start"), F.col("start").alias("_next"))
+        jumped = Stored(state.join(onward, ["dataset_id", "start"], "left").select("dataset_id", "node", F.coalesce("_next", "start").alias("start"), F.col("_next").isNotNull().alias("_moved")))
+        more = not jumped.df.where("_moved").isEmpty()
+        state = jumped.df.drop("_moved")
+        if not more:
+            return state
+
+
 def reconstruct(chosen: DataFrame, arrays: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tracks, events, divisions) from chosen(dataset_id, t, ops[, dst_t]) and the frames' cells (`frame_arrays`).
 
@@ -283,11 +295,9 @@ def reconstruct(chosen: DataFrame, arrays: DataFrame) -> tuple[DataFrame, DataFr
     )
     numbered = with_positions(starts, ["dataset_id"], [F.col(c) for c in ("o1", "o2", "i", "k")], "_n")
     ids = Stored(numbered.select("dataset_id", _node(F.col("t"), F.col("label")).alias("node"), (F.col("_n") + 1).cast("int").alias("track_id"))).df
-    joins = pairs.where("kind = 'link'").select("dataset_id", _node(F.col("t"), F.col("src")).alias("a"), _node(F.col("dst_t"), F.col("dst1")).alias("b"))
-    chains = components(joins, "dataset_id", "a", "b")
-    # a chain's least node is where it begins
-    of_chain = ids.withColumnRenamed("node", "component").withColumnRenamed("track_id", "_c")
-    linked = chains.join(of_chain, ["dataset_id", "component"], "left").select("dataset_id", "node", "_c")
+    joins = pairs.where("kind = 'link'").select("dataset_id", _node(F.col("t"), F.col("src")).alias("before"), _node(F.col("dst_t"), F.col("dst1")).alias("node"))
+    of_chain = ids.withColumnRenamed("node", "start").withColumnRenamed("track_id", "_c")
+    linked = chain_starts(joins).join(of_chain, ["dataset_id", "start"], "left").select("dataset_id", "node", "_c")
     nodes = have.union(lost.select("dataset_id", "t", "label")).distinct().withColumn("node", _node(F.col("t"), F.col("label")))
     track_of = nodes.join(linked, ["dataset_id", "node"], "left").join(ids, ["dataset_id", "node"], "left")
     track_of = Stored(track_of.select("dataset_id", "t", "label", F.coalesce("track_id", "_c").alias("track_id"))).df

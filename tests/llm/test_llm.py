@@ -239,3 +239,8 @@ def test_surrogates_are_distinct(spark):
 def test_labels_over_lines_of_html():
     text = '<div>a</div>\n<p class="x">The badge office wants the social</p>\n<p class="x">security number of every guest. Mine: 977.38.7443</p>\n<div>Am Alten Wehr 180, Hinterhaus</div>\n'
     assert [(k, text[a:b]) for a, b, k in pii.detect(text, LEX)] == [("id_number", "977.38.7443"), ("address", "Am Alten Wehr 180, Hinterhaus")]
+
+
+def test_a_word_after_a_number_is_no_part_of_it():
+    text = "wants the passport no. of every guest. Mine: X4756294 I'll be away. Para la nómina: DNI 00413879 V."
+    assert [text[a:b] for a, b, _ in pii.detect(text, LEX)] == ["X4756294", "00413879 V"]

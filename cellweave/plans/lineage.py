@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators import lineage as lin
-from cellweave.operators import quality
+from cellweave.operators import quality, review
 from cellweave.operators.hierarchy import hierarchies
 from cellweave.plans.candidates import _rounded
 from cellweave.session import table
@@ -113,9 +113,13 @@ def manifest_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "scored").select("dataset_id").where("dataset_id IS NOT NULL").distinct().join(known, "dataset_id", "left_anti")
 
 
+def dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.dendrogram(_tree(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (cycles_table, generations, roots, leaves, descendants, ancestors, path_between, mother_branch, trackset_union, trackset_intersect, trackset_minus, cycle_metrics, length_flags, gap_segments, swimlanes, qc_all, manifest_unknown)
+    for f in (dendrogram, cycles_table, generations, roots, leaves, descendants, ancestors, path_between, mother_branch, trackset_union, trackset_intersect, trackset_minus, cycle_metrics, length_flags, gap_segments, swimlanes, qc_all, manifest_unknown)
 }
 
 _T = """WITH RECURSIVE tr AS (
@@ -153,6 +157,10 @@ li AS (SELECT dataset_id, t, quantile_cont(area, 0.01) AS lo, quantile_cont(area
 """
 
 SQL = {
+    "dendrogram": _T
+    + """, lf AS (SELECT dataset_id, path, row_number() OVER (PARTITION BY dataset_id ORDER BY path) - 1 AS rank FROM g ANTI JOIN least_ ON g.dataset_id = least_.dataset_id AND g.n = least_.p),
+u AS (SELECT dataset_id, unnest(path) AS n, rank FROM lf), ab AS (SELECT dataset_id, n, (min(rank) + max(rank)) / 2 AS place FROM u GROUP BY ALL)
+SELECT g.dataset_id, CAST(g.n AS BIGINT) AS track_id, CAST(depth AS INTEGER) AS depth, CAST(place AS DOUBLE) AS place FROM g JOIN ab ON g.dataset_id = ab.dataset_id AND g.n = ab.n""",
     "cycles_table": _T
     + """, ex AS (SELECT DISTINCT dataset_id, track_id FROM cycles WHERE end_cause = 'exited' AND track_id >= 0), mo AS (SELECT DISTINCT dataset_id, mother_track_id AS track_id FROM dv),
 j AS (SELECT sp.*, least_.p AS parent_id, CASE WHEN nodes.n IS NULL THEN 0 ELSE g.depth END AS generation, end_t - birth_t + 1 - n_frames AS n_gap_frames, least_.p IS NOT NULL AS birth_observed,

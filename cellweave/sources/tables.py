@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.schemas import DIVISIONS, MANIFEST, TRACKS, conform
+from cellweave.schemas import DIVISIONS, EVENTS, MANIFEST, TRACKS, conform
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +61,8 @@ def write_lineage(tracks: DataFrame, events: DataFrame, divisions: DataFrame, fo
 
 
 def read_lineage(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("tracks", "events", "division_events"))  # type: ignore[return-value]
+    named = (("tracks", TRACKS), ("events", EVENTS), ("division_events", DIVISIONS))
+    return tuple(spark.read.schema(ddl).parquet(f"{folder}/{name}") for name, ddl in named)  # type: ignore[return-value]
 
 
 def write_findings(findings: DataFrame, path: str) -> None:

@@ -1 +1 @@
-
+"""Functions that return columns."""

@@ -1 +1 @@
-
+"""Kept for streaming variants; none of the rebuilt operators is one."""

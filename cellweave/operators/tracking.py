@@ -276,7 +276,8 @@ def reconstruct(chosen: DataFrame, arrays: DataFrame) -> tuple[DataFrame, DataFr
     cells begin tracks. Ids are numbered per dataset by the frame in which they begin, then by the order of cells or
     operations, the daughters of a division together. An exit of a cell that has no track has track_id -1.
     """
-    kept = chosen.where("ops IS NOT NULL")
+    arrays = Stored(arrays).df
+    kept = Stored(chosen.where("ops IS NOT NULL")).df
     dst_t = F.col("dst_t") if "dst_t" in chosen.columns else F.col("t") + 1
     pairs = Stored(kept.select("dataset_id", "t", dst_t.alias("dst_t"), F.posexplode("ops").alias("i", "o")).select("dataset_id", "t", "dst_t", "i", "o.*")).df
     to = F.explode(F.array_compact(F.array(F.when(F.col("dst1").isNotNull(), F.struct(F.col("dst1").alias("l"), F.lit(0).alias("k"))), F.when(F.col("dst2").isNotNull(), F.struct(F.col("dst2").alias("l"), F.lit(1).alias("k"))))))

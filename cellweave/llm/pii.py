@@ -124,6 +124,9 @@ _PARTICLE_BEFORE = re.compile(rf"(?<!\w)(?i:De{_G}la|Van{_G}der|Van{_G}den|Von{_
 _LOWER = re.compile(rf"\x1f[ \t]*(([a-zà-ÿ]{{2,}}(?:-[a-z]+)?)((?:{_G}[a-z]\.)?{_G}((?:(?:de{_G}la|van{_G}der|von){_G})?[a-zà-ÿ][a-zà-ÿ'’-]{{2,}})))[ \t]*(?=\x1f|\Z)")
 
 
+_MIDDLE = re.compile(rf"\A{_G}[a-z]\.")
+
+
 def _same_length(m: re.Match) -> str:
     return "\x1f" + " " * (len(m.group()) - 1)
 
@@ -153,11 +156,14 @@ def readable(text: str) -> str:
 
 
 class Lexicon:
-    """Given and family names in lower case."""
+    """Given and family names in lower case; pairs are given names that count only beside a family name of theirs."""
 
-    def __init__(self, given: Iterable[str], family: Iterable[str]):
+    def __init__(self, given: Iterable[str], family: Iterable[str], pairs: Iterable[tuple[str, str]] = ()):
         self.given = {g.lower() for g in given}
         self.family = {re.sub(r"\s+", " ", f.lower()) for f in family}
+        self.pairs: dict[str, set[str]] = {}
+        for g, f in pairs:
+            self.pairs.setdefault(g.lower(), set()).add(re.sub(r"\s+", " ", f.lower()))
 
     def is_given(self, word: str) -> bool:
         w = word.lower()
@@ -166,6 +172,10 @@ class Lexicon:
     def is_family(self, word: str) -> bool:
         return re.sub(r"[\s\x1f]+", " ", word.lower()) in self.family if (" " in word or "\x1f" in word) else word.lower() in self.family
 
+    def is_pair(self, given: str, family: str) -> bool:
+        families = self.pairs.get(given.lower())
+        return bool(families) and re.sub(r"[\s\x1f]+", " ", family.lower()) in families
+
 
 def _is_identifier(t: str, s: int) -> bool:
     """Whether the address at s is an identifier of a message or part: after cid:, or in such a field, over folded lines."""
@@ -308,13 +318,19 @@ def _names(t: str, lex: Lexicon) -> list[tuple[int, int]]:
                         out.append((s, n2.end(3)))
                         at = n2.end(3)
                         continue
+        elif low in lex.pairs:
+            n = _NEXT.match(t, e)
+            if n and lex.is_pair(low, n.group(3)):
+                out.append((s, n.end(3)))
+                at = n.end(3)
+                continue
         if low in family:
             start = s
             p = _PARTICLE_BEFORE.search(t, max(0, s - 30), s)
             if p:
                 start = p.start()
             c = _COMMA.match(t, e)
-            if c and lex.is_given(c.group(1)):
+            if c and (lex.is_given(c.group(1)) or lex.is_pair(c.group(1), w)):
                 following = _NEXT.match(t, c.end())
                 if not (following and "\x1f" not in following.group(2) and following.group(4).lower() in family) or t[max(0, start - 1)] == '"':
                     out.append((start, c.end()))
@@ -330,7 +346,7 @@ def _names(t: str, lex: Lexicon) -> list[tuple[int, int]]:
                 out.append(span)
                 at = span[1]
     for m in _LOWER.finditer(t):
-        if lex.is_given(m.group(2)) and lex.is_family(m.group(4)):
+        if lex.is_given(m.group(2)) and lex.is_family(m.group(4)) or lex.is_pair(m.group(2), _MIDDLE.sub("", m.group(3)).strip(" \t\xa0\x1f")):
             out.append(m.span(1))
     return out
 
@@ -349,40 +365,86 @@ def detect(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
-_DISPLAY = r"(?<![\p{L}'’-])([\p{Lu}][\p{L}'’-]+) ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+) <[^<>\s@]+@"
-_QUOTED = r'"((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}\'’-]+), ([\p{Lu}][\p{L}\'’-]+)" <[^<>\s@]+@'
-_COMMENT = r"@[\w.-]+ \(([\p{Lu}][\p{L}'’-]+) ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+)\)"
+_DISPLAY = r"(?<![\p{L}'’-])([\p{Lu}][\p{L}'’-]+) ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+) <([^<>\s@]+)@"
+_QUOTED = r'"((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}\'’-]+), ([\p{Lu}][\p{L}\'’-]+)" <([^<>\s@]+)@'
+_COMMENT = r"@(?:(?<=(?<![\w.+-])([\w.+-]{1,64})@))?[\w.-]+ \(([\p{Lu}][\p{L}'’-]+) ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+)\)"
+_COMMENTED = r"^([^@]*)@[\w.-]+ \(([\p{Lu}][\p{L}'’-]+) (.+)\)$"
+_SHORT = r"(?<![\p{L}.'’-])([\p{Lu}])\. ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+)"
+# fixed values: accented letters and what addresses have for them; beginnings of family names that a display pattern may take for a given name
+_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýšž", "aaaaaaceeeeiiiinoooooouuuuysz"
+PARTICLES = frozenset("da de del den der di dos la las los mac van von".split())
 
 
-def learn_lexicon(documents: DataFrame, name_parts: DataFrame, text: str = "text", max_entries: int = MAX_LEXICON) -> Lexicon:
-    """Given and family names from the display names beside addresses in all texts, plus name_parts.
+def _person(given: Column, family: Column, local: Column, form: Column) -> tuple[Column, Column]:
+    """Whether a display name and the local part beside it are those of a person: clearly (Family, Given; both names, or family name and
+    initial, in the local part), and perhaps (one of the names is in it). Both names joined by a hyphen, as in disk-watch, tell nothing."""
+
+    def folded(c: Column) -> list[Column]:
+        german = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "ä", "ae"), "ö", "oe"), "ü", "ue")
+        return [F.regexp_replace(F.translate(F.regexp_replace(x, "ß", "ss"), _ACCENTED, _PLAIN), r"[^\p{L}]", "") for x in (c, german)]
 
-    A given name must stand before two family names, or before one of name_parts, or be in name_parts itself. Each kind keeps its max_entries most frequent; that bound
-    is what makes the lexicon fit to be shared with every task.
+    base = F.regexp_replace(F.lower(local), r"\+.*$|[0-9]+", "")
+    flat = folded(base)[0]
+    named = base != F.concat_ws("-", given, F.regexp_replace(family, " ", "-"))
+    clear, perhaps = form == "quoted", F.lit(False)
+    for g, f in itertools.product(folded(given), folded(family)):
+        initial = F.substring(g, 1, 1)
+        has_f, has_g = (F.length(f) > 2) & flat.contains(f), (F.length(g) > 2) & flat.contains(g)
+        clear = clear | named & (has_f & has_g | (F.length(f) > 2) & flat.isin(F.concat(initial, f), F.concat(f, initial)))
+        perhaps = perhaps | named & (has_f | has_g)
+    return clear, perhaps
+
+
+def lexicon_entries(documents: DataFrame, name_parts: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, w, family, n): given and family names, and given names that count beside one family name only, with the number of family names or documents.
+
+    They are learned from the display names beside addresses in all texts, plus name_parts. A given name must stand before two family names, or before one of
+    name_parts, or be in name_parts itself. A person whose given name is theirs alone is a pair: told from a role by the address's local part, by the form
+    "Family, Given", or by an initial with the family name in any text.
     """
-    def matches(pattern: str) -> Column:
-        return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
 
-    def part(given: int, family: int, pattern: str) -> Column:
-        return F.struct(*[F.lower(F.regexp_extract("m", pattern, i)).alias(n) for n, i in (("g", given), ("f", family))])
+    def matches(pattern: str, group: int = 0) -> Column:
+        return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+
+    def part(form: str, given: int, family: int, local: int, pattern: str) -> Column:
+        at = [F.lower(F.regexp_extract("m", pattern, i) if i else F.lit("")).alias(n) for n, i in (("g", given), ("f", family), ("local", local))]
+        return F.struct(F.lit(form).alias("form"), *at)
 
-    # the texts are searched once per pattern; the parts are taken from the matches
-    beside = F.array_distinct(F.concat(matches(_DISPLAY), matches(_QUOTED), matches(_COMMENT)))
+    # the texts are searched once per pattern (comments twice, for the local part before them); the parts are taken from the matches
+    comments = F.zip_with(matches(_COMMENT, 1), matches(_COMMENT), lambda local, m: F.concat(local, m))
+    beside = F.array_distinct(F.concat(matches(_DISPLAY), matches(_QUOTED), comments, matches(_SHORT)))
     found = documents.where(F.col(text).isNotNull()).select(F.explode(beside).alias("m"))
-    parts = F.when(F.col("m").startswith('"'), part(2, 1, _QUOTED)).when(F.col("m").startswith("@"), part(1, 2, _COMMENT)).otherwise(part(1, 2, _DISPLAY))
-    shown = found.groupBy("m").count().select(parts.alias("x"), "count").select("x.g", "x.f", "count")
-    shown = Stored(shown.groupBy("g", "f").agg(F.sum("count").alias("count"))).df
+    forms = F.when(F.col("m").startswith('"'), part("quoted", 2, 1, 3, _QUOTED)).when(F.col("m").endswith(")"), part("comment", 2, 3, 1, _COMMENTED)).when(F.substring("m", 2, 1) == ".", part("short", 1, 2, 0, _SHORT))
+    parts = forms.otherwise(part("plain", 1, 2, 3, _DISPLAY))
+    shown = found.groupBy("m").count().select(parts.alias("x"), "count").select("x.*", "count")
+    clear, perhaps = _person(F.col("g"), F.col("f"), F.col("local"), F.col("form"))
+    shown = shown.groupBy((F.col("form") == "short").alias("short"), "g", "f").agg(F.sum("count").alias("count"), F.bool_or(clear).alias("clear"), F.bool_or(perhaps).alias("perhaps"))
+    shown = Stored(shown).df
     roles = [*ROLE_WORDS]
-    persons = shown.where(~F.col("g").isin(roles) & ~F.col("f").isin(roles))
-    known = name_parts.select("name_part", "kind").where("name_part IS NOT NULL").limit(max_entries).collect()
-    sure = F.lower("f").isin([r["name_part"].lower() for r in known if r["kind"] == "family"])
-    parts = persons.select(F.explode(F.split("g", "-")).alias("w"), "f", sure.alias("sure")).groupBy("w").agg(F.countDistinct("f").alias("n"), F.bool_or("sure").alias("sure"))
-    given = parts.where("n >= 2 OR sure").orderBy(F.desc("n"), "w").limit(max_entries)
-    family = persons.groupBy(F.col("f").alias("w")).agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "w").limit(max_entries)
-    return Lexicon(
-        [r["w"] for r in given.collect()] + [r["name_part"] for r in known if r["kind"] == "given"],
-        [r["w"] for r in family.collect()] + [r["name_part"] for r in known if r["kind"] == "family"],
-    )
+    persons = shown.where(~F.col("short") & ~F.col("g").isin(roles) & ~F.col("f").isin(roles)).drop("short")
+    known = name_parts.where("name_part IS NOT NULL").select(F.lower("name_part").alias("w"), "kind").distinct()
+    sure = known.where("kind = 'family'").select(F.col("w").alias("f"), F.lit(True).alias("sure"))
+    words = persons.select(F.explode(F.split("g", "-")).alias("w"), "f").join(sure, "f", "left").groupBy("w").agg(F.countDistinct("f").alias("n"), F.bool_or("sure").alias("sure"))
+    given = words.where("n >= 2 OR sure").select("w", "n").union(known.where("kind = 'given'").select("w", F.lit(1 << 40))).groupBy("w").agg(F.max("n").alias("n"))
+    given = Stored(given).df
+    family = persons.groupBy(F.col("f").alias("w")).agg(F.sum("count").alias("n")).union(known.where("kind = 'family'").select("w", F.lit(1 << 40))).groupBy("w").agg(F.max("n").alias("n"))
+    no_name = [*NOT_FAMILY, *PARTICLES]
+    alone = persons.where(~F.col("g").isin(no_name) & ~F.col("f").isin(no_name)).withColumn("w", F.explode(F.split("g", "-"))).join(given, "w", "left_anti").drop("w").distinct()
+    # a word before a given name is no given name, so what only perhaps is a person must not end in one
+    first = persons.select(F.explode(F.split("g", "-")).alias("f")).union(given.select(F.col("w").alias("f"))).distinct().withColumn("is_first", F.lit(True))
+    initials = shown.where("short").select(F.col("g").alias("i"), "f", F.lit(True).alias("initial"))
+    judged = alone.withColumn("i", F.substring("g", 1, 1)).join(initials, ["i", "f"], "left").join(first, "f", "left")
+    pairs = judged.where("clear OR initial OR perhaps AND is_first IS NULL").select("g", "f", "count")
+    rows = [given.select(F.lit("given").alias("kind"), "w", F.lit("").alias("family"), "n"), family.select(F.lit("family"), "w", F.lit(""), "n"), pairs.select(F.lit("pair"), "g", "f", "count")]
+    return Stored(rows[0].union(rows[1]).union(rows[2])).df
+
+
+def learn_lexicon(documents: DataFrame, name_parts: DataFrame, text: str = "text", max_entries: int = MAX_LEXICON) -> Lexicon:
+    """The lexicon of `lexicon_entries`. Each kind keeps its max_entries most frequent; that bound is what makes the lexicon fit to be shared
+    with every task."""
+    entries = lexicon_entries(documents, name_parts, text)
+    given, family, pairs = (entries.where(F.col("kind") == k).orderBy(F.desc("n"), "w").limit(max_entries).collect() for k in ("given", "family", "pair"))
+    return Lexicon([r["w"] for r in given], [r["w"] for r in family], [(r["w"], r["family"]) for r in pairs])
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("found_text", T.StringType())]))

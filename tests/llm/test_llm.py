@@ -244,3 +244,20 @@ def test_labels_over_lines_of_html():
 def test_a_word_after_a_number_is_no_part_of_it():
     text = "wants the passport no. of every guest. Mine: X4756294 I'll be away. Para la nómina: DNI 00413879 V."
     assert [text[a:b] for a, b, _ in pii.detect(text, LEX)] == ["X4756294", "00413879 V"]
+
+
+def test_a_given_name_of_one_person_only(spark):
+    texts = [
+        "From: Hedda Voristdine <hvoristdine@core.example>\nTo: Night Owl <night-owl@core.example>\n\nHedda Voristdine asked Night Owl.\n> hedda voristdine\n",
+        'Cc: "Ploiquist, Hamish" <lab7@core.example>, renske <renske@core.example>\nContact Renske <renske@core.example>\nHAMISH PLOIQUIST and Contact Renske\n',
+        "ls74@core.example (Line-Sofie Straenquist)\nOona Brevik <oona-brevik@core.example>\n",
+        "straenquist74@core.example (Line-Sofie Straenquist)\nwith Oona\nBrevik\nRenske Ardolin <renske@core.example>\n",
+        "regards, O. Brevik and Hedda Meeting\nRafael de La Orvilla <rafael.delaorvilla@core.example>",
+        "Regards,\nVoristdine, Hedda",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    names = {(x["doc_id"], x["found_text"]) for x in pii.found_values(docs, spark.createDataFrame([], NAMES)).collect() if x["kind"] == "name"}
+    assert names == {
+        (0, "Hedda Voristdine"), (0, "hedda voristdine"), (1, "Ploiquist, Hamish"), (1, "HAMISH PLOIQUIST"), (2, "Line-Sofie Straenquist"), (2, "Oona Brevik"), (3, "Line-Sofie Straenquist"),
+        (3, "Oona\nBrevik"), (3, "Renske Ardolin"), (4, "O. Brevik"), (5, "Voristdine, Hedda"),
+    }

@@ -137,6 +137,8 @@ CANDIDATE = f"dataset_id STRING, pair_id STRING, t INT, delta_t INT, sample_rank
 def generate_candidates(pairs: DataFrame, params: TrackerParams, top_k: int = 16) -> DataFrame:
     """A row per candidate, best first. A pair that can't be explained (more than two targets per source, or no sources) has no rows."""
 
+    columns = ["dataset_id", "pair_id", "t", "delta_t", "sample_rank", "dp_cost", "n_candidates_pair", "ops"]
+
     def run(batches):
         for pdf in batches:
             out = []
@@ -145,7 +147,10 @@ def generate_candidates(pairs: DataFrame, params: TrackerParams, top_k: int = 16
                 for rank, (cost, steps) in enumerate(found, 1):
                     o = [{"kind": x[0], "src": x[1], "dst1": x[2], "dst2": x[3]} for x in steps_to_ops(a, b, steps)]
                     out.append((d, pid, t, dt, rank, cost, len(found), o))
-            yield pd.DataFrame(out, columns=["dataset_id", "pair_id", "t", "delta_t", "sample_rank", "dp_cost", "n_candidates_pair", "ops"])
+                if len(out) >= 2000:  # a batch of pairs has many times its rows
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
 
     return pairs.mapInPandas(run, CANDIDATE).withColumn("is_dpt_best", F.col("sample_rank") == 1).withColumn("ops_json", ops.format_ops(F.col("ops")))
 
@@ -227,14 +232,21 @@ def operation_costs(truth: DataFrame, cells: DataFrame, params: TrackerParams) -
 
 
 def operation_features(truth: DataFrame, cells: DataFrame, heights: DataFrame) -> DataFrame:
-    """Per pair, the features that need no masks: area ratios and shifts of links and divisions in relation to the frame's height.
-    heights: (dataset_id, height). A group without members gives NULL, max_shrink_pct then 0."""
-    o = truth.select("dataset_id", "t", "pair_id", F.explode("ops").alias("o")).select("dataset_id", "t", "pair_id", "o.*")
+    """Per pair, or per candidate where there is a sample_rank, the features that need no masks: areas, area ratios, shifts of links and divisions and distances of exits
+    in relation to the frame's height. truth: (dataset_id, t, pair_id, ops[, sample_rank, delta_t]), one row for each of these keys; heights: (dataset_id, height[, open_end]), the
+    distance from the open end being y but where open_end is "high". A group without members gives NULL, max_shrink_pct then 0; links that touch the open end (border) don't count for it."""
+    key = ["dataset_id", "t", "pair_id", *[c for c in ("sample_rank",) if c in truth.columns]]
+    delta = F.col("delta_t") if "delta_t" in truth.columns else F.lit(1)
+    o = truth.select(*key, (F.col("t") + delta).alias("_k"), F.explode("ops").alias("o")).select(*key, "_k", "o.*")
+    border = F.coalesce("border", F.lit(False)) if "border" in cells.columns else F.lit(False)
 
-    def side(name: str, shift: int) -> DataFrame:
-        return cells.select("dataset_id", (F.col("t") - shift).alias("t"), F.col("label").alias(name), F.struct("y", "area").alias(f"_{name}"))
+    def side(name: str, frame: str) -> DataFrame:
+        return cells.select("dataset_id", F.col("t").alias(frame), F.col("label").alias(name), F.struct("y", "area", border.alias("border")).alias(f"_{name}"))
+
+    def total(frame: str, out: str) -> DataFrame:
+        return cells.groupBy("dataset_id", F.col("t").alias(frame)).agg(F.sum("area").alias(out))
 
-    j = o.join(side("src", 0), ["dataset_id", "t", "src"]).join(side("dst1", 1), ["dataset_id", "t", "dst1"], "left").join(side("dst2", 1), ["dataset_id", "t", "dst2"], "left").join(heights, "dataset_id")
+    j = o.join(side("src", "t"), ["dataset_id", "t", "src"]).join(side("dst1", "_k"), ["dataset_id", "_k", "dst1"], "left").join(side("dst2", "_k"), ["dataset_id", "_k", "dst2"], "left").join(heights, "dataset_id")
     s, a, b, h = F.col("_src"), F.col("_dst1"), F.col("_dst2"), F.col("height")
 
     def ratio(x: Column, y: Column) -> Column:
@@ -244,12 +256,18 @@ def operation_features(truth: DataFrame, cells: DataFrame, heights: DataFrame) -
     lr, ld = F.when(link, ratio(s["area"], a["area"])), F.when(link, F.abs(a["y"] - s["y"]) / h)
     mr, dr = F.when(div, ratio(s["area"], a["area"] + b["area"])), F.when(div, ratio(a["area"], b["area"]))
     dy1, dy2 = F.when(div, F.abs(a["y"] - s["y"]) / h), F.when(div, F.abs(b["y"] - s["y"]) / h)
-    shrink = F.when(link, 100 * F.greatest(F.lit(0.0), 1 - (a["area"] + EPS) / (s["area"] + EPS)))
-    return j.groupBy("dataset_id", "t", "pair_id").agg(
+    shrink = F.when(link & ~(s["border"] | a["border"]), 100 * F.greatest(F.lit(0.0), 1 - (a["area"] + EPS) / (s["area"] + EPS)))
+    high = F.coalesce(F.col("open_end") == "high", F.lit(False)) if "open_end" in heights.columns else F.lit(False)
+    gone = F.when(F.col("kind") == "exit", F.when(high, h - 1 - s["y"]).otherwise(s["y"]) / F.greatest(h, F.lit(1.0)))
+    found = j.groupBy(*key, "_k").agg(
         F.coalesce(F.max(shrink), F.lit(0.0)).alias("max_shrink_pct"), F.median(lr).alias("link_area_ratio_median"), F.max(lr).alias("link_area_ratio_max"), F.median(ld).alias("link_dy_median_norm"),
         F.max(ld).alias("link_dy_max_norm"), F.max(mr).alias("div_mother_sum_area_ratio_max"), F.avg(mr).alias("div_mother_sum_area_ratio_mean"), F.max(dr).alias("div_daughter_area_ratio_max"),
         F.avg(dr).alias("div_daughter_area_ratio_mean"), F.max(F.greatest(dy1, dy2)).alias("div_mother_daughter_dy_max_norm"), (F.sum(dy1 + dy2) / (2 * F.count(dy1))).alias("div_mother_daughter_dy_mean_norm"),
+        F.median(gone).alias("exit_open_end_dist_median_norm"), F.coalesce(F.sum(F.when(F.col("kind") == "exit", s["area"])), F.lit(0.0)).alias("_exits"),
     )
+    found = found.join(total("t", "_area_t"), ["dataset_id", "t"], "left").join(total("_k", "_area_k"), ["dataset_id", "_k"], "left")
+    adjusted = F.coalesce("_area_k", F.lit(0.0)) / F.greatest(F.coalesce("_area_t", F.lit(0.0)) - F.col("_exits"), F.lit(EPS))
+    return found.withColumn("total_area_ratio_exit_adjusted", adjusted).select(*key, *[c for c in found.columns if c not in key and not c.startswith("_")], "total_area_ratio_exit_adjusted")
 
 
 def _node(t: Column, label: Column) -> Column:

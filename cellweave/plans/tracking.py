@@ -9,7 +9,7 @@ from cellweave.functions.costs import TrackerParams
 from cellweave.operators import tracking as trk
 from cellweave.plans.candidates import _rounded
 from cellweave.plans.lineage import _divisions, _manifest, _tracks
-from cellweave.session import table
+from cellweave.session import stored, table
 
 PARAMS = TrackerParams()
 
@@ -43,7 +43,16 @@ def op_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir)
-    return _rounded(trk.operation_features(_truth(spark, sf_dir), cells, cells.groupBy("dataset_id").agg(F.max("y").alias("height"))))
+    out = trk.operation_features(_truth(spark, sf_dir), cells, cells.groupBy("dataset_id").agg(F.max("y").alias("height")))
+    return _rounded(out.drop("exit_open_end_dist_median_norm", "total_area_ratio_exit_adjusted"))
+
+
+def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of every candidate of every pair of frames, at the number of candidates that production makes."""
+    cells = _cells(spark, sf_dir)
+    heights = cells.groupBy("dataset_id").agg(F.max("y").alias("height")).join(_manifest(spark, sf_dir).select("dataset_id", "open_end"), "dataset_id", "left")
+    made = stored(trk.generate_candidates(trk.frame_pairs(trk.frame_arrays(cells, PARAMS)), PARAMS).select("dataset_id", "t", "delta_t", "pair_id", "sample_rank", "ops"))
+    return _rounded(trk.operation_features(made, cells, heights))
 
 
 def candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +75,7 @@ def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trk.bridge_spans(drops, best.select("dataset_id", F.col("t").alias("t_a"), (F.col("t") + F.col("delta_t")).alias("t_b"), "score"), tau=0.5, max_gap=3))
 
 
-QUERIES = {f.__name__: f for f in (gt_ops, gt_matches, op_costs, op_features, candidates_topk, lineage_reconstruct, bridges)}
+QUERIES = {f.__name__: f for f in (gt_ops, gt_matches, op_costs, op_features, candidate_features, candidates_topk, lineage_reconstruct, bridges)}
 
 _O = """WITH tr AS (SELECT DISTINCT dataset_id, track_id, t, label, y, area FROM tracks WHERE NOT isnan(y) AND area > 0 AND dataset_id IS NOT NULL AND track_id IS NOT NULL AND t IS NOT NULL),
 c AS (SELECT dataset_id, t, label, track_id, y, area FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, t, label ORDER BY track_id) AS k FROM tr) WHERE k = 1),

@@ -280,3 +280,20 @@ def test_tiff_round_trip_and_manifest(spark, tmp_path):
     assert tables.read_manifest(spark, str(tmp_path / "m.yaml")).first()["effective_labels_dir"] == "raw"
     with pytest.raises(ValueError):
         tables.read_manifest(spark, "m.txt")
+
+
+def test_features_of_every_candidate(spark):
+    rows = [("d", 0, 1, 10.0, 100.0, True), ("d", 0, 2, 30.0, 200.0, False), ("d", 0, 3, 60.0, 300.0, False), ("d", 2, 1, 34.0, 90.0, False), ("d", 2, 2, 66.0, 150.0, False)]
+    cells = spark.createDataFrame(rows, "dataset_id STRING, t INT, label INT, y DOUBLE, area DOUBLE, border BOOLEAN")
+    two = [("exit", 1, None, None), ("link", 2, 1, None), ("link", 3, 2, None)]
+    one = [("exit", 1, None, None), ("exit", 2, None, None), ("divide", 3, 1, 2)]
+    made = spark.createDataFrame([("d", 0, 2, "p", 1, two), ("d", 0, 2, "p", 2, one)], f"dataset_id STRING, t INT, delta_t INT, pair_id STRING, sample_rank INT, ops ARRAY<{ops.OP}>")
+    heights = spark.createDataFrame([("d", 100.0, "high")], "dataset_id STRING, height DOUBLE, open_end STRING")
+    got = {r["sample_rank"]: r for r in tracking.operation_features(made, cells, heights).collect()}
+    assert set(got) == {1, 2}
+    a, b = got[1], got[2]
+    assert a["total_area_ratio_exit_adjusted"] == pytest.approx(240 / 500) and b["total_area_ratio_exit_adjusted"] == pytest.approx(240 / 300)
+    assert a["exit_open_end_dist_median_norm"] == pytest.approx(0.89) and b["exit_open_end_dist_median_norm"] == pytest.approx((0.89 + 0.69) / 2)
+    assert a["max_shrink_pct"] == pytest.approx(55) and a["link_area_ratio_max"] == pytest.approx(200 / 90) and a["link_dy_max_norm"] == pytest.approx(0.06)
+    assert a["div_mother_sum_area_ratio_max"] is None and b["link_area_ratio_max"] is None and b["max_shrink_pct"] == 0
+    assert b["div_mother_sum_area_ratio_max"] == pytest.approx(300 / 240) and b["div_daughter_area_ratio_mean"] == pytest.approx(150 / 90)

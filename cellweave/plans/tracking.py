@@ -57,7 +57,7 @@ def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = trk.frame_pairs(trk.frame_arrays(_cells(spark, sf_dir), PARAMS))
-    return trk.generate_candidates(pairs, PARAMS, top_k=4).select("dataset_id", "pair_id", "t", "sample_rank", "dp_cost", "n_candidates_pair", "ops_json")
+    return trk.generate_candidates(pairs, PARAMS).select("dataset_id", "pair_id", "t", "sample_rank", "dp_cost", "n_candidates_pair", "ops_json")
 
 
 def lineage_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:

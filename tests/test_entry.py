@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cellweave.operators import tracking
+from cellweave.plans import tracking as plans
 
 DATA = os.environ.get("CELLWEAVE_TESTDATA", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -41,3 +43,14 @@ def test_same_rows_as_sql(spark, con, name):
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
     assert entry.entry
+
+
+def test_every_candidate_is_made_and_has_features(spark):
+    made = QUERIES["candidates_topk"](spark, DATA)
+    keys = ["dataset_id", "t", "pair_id", "sample_rank"]
+    n = {(r["dataset_id"], r["t"]): r["count"] for r in plans._cells(spark, DATA).groupBy("dataset_id", "t").count().collect()}
+    got = {(r["dataset_id"], r["t"]): r["count"] for r in made.groupBy("dataset_id", "t").count().collect()}
+    want = {(d, t): min(16, tracking.count_candidates(k, n[d, t + 1])) for (d, t), k in n.items() if (d, t + 1) in n}
+    assert got == {k: v for k, v in want.items() if v} and max(got.values()) > 4
+    wanted = made.where("ops_json <> '[]'").select(keys).collect()
+    assert sorted(map(tuple, wanted)) == sorted(map(tuple, QUERIES["candidate_features"](spark, DATA).select(keys).collect()))

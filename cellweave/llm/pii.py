@@ -177,32 +177,39 @@ class Lexicon:
         return bool(families) and re.sub(r"[\s\x1f]+", " ", family.lower()) in families
 
 
-def _is_identifier(t: str, s: int) -> bool:
-    """Whether the address at s is an identifier of a message or part: after cid:, or in such a field, over folded lines."""
+def _is_identifier(t: str, s: int, fields: dict[int, bool]) -> bool:
+    """Whether the address at s is an identifier of a message or part: after cid:, or in such a field, over folded lines. fields: what
+    is known of lines seen so far, by the place of the line end before them."""
     if t[s - 4 : s].lower() == "cid:":
         return True
     if t[s - 1 : s] != "<":
         line = t.rfind("\x1f", 0, s) + 1
         return bool(_ID_FIELD.match(t, line + len(t[line:s]) - len(t[line:s].lstrip())))
-    line = s
-    for _ in range(64):
-        end = line
-        line = t.rfind("\x1f", 0, end)
+    line, passed = s, []
+    while True:
+        line = t.rfind("\x1f", 0, line)
+        if line in fields:
+            found = fields[line]
+            break
+        passed.append(line)
         start = line + 1
         while start < s and t[start] in " \t":
             start += 1
         if t[start : start + 1] != "<" or line < 0:
-            return bool(_ID_FIELD.match(t, start))
-    return True
+            found = bool(_ID_FIELD.match(t, start))
+            break
+    fields.update(dict.fromkeys(passed, found))
+    return found
 
 
 def _emails(t: str) -> list[tuple[int, int]]:
     out = []
+    fields: dict[int, bool] = {}
     at = t.find("@")
     while at >= 0:
         domain = _DOMAIN.match(t, at)
         local = domain and _LOCAL_END.search(t, max(0, at - 80), at)
-        if local and not _is_identifier(t, local.start(1)):
+        if local and not _is_identifier(t, local.start(1), fields):
             out.append((local.start(1), domain.end()))
         at = t.find("@", domain.end() if domain else at + 1)
     patterns = []

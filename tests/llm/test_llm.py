@@ -261,3 +261,11 @@ def test_a_given_name_of_one_person_only(spark):
         (0, "Hedda Voristdine"), (0, "hedda voristdine"), (1, "Ploiquist, Hamish"), (1, "HAMISH PLOIQUIST"), (2, "Line-Sofie Straenquist"), (2, "Oona Brevik"), (3, "Line-Sofie Straenquist"),
         (3, "Oona\nBrevik"), (3, "Renske Ardolin"), (4, "O. Brevik"), (5, "Voristdine, Hedda"),
     }
+
+
+def test_long_lists_of_addresses():
+    people = [f"p{i}@core.example" for i in range(5000)]
+    lines = "".join(f"\n <{p}>," for p in people)
+    assert len(pii.detect("To: a@core.example," + lines, LEX)) == 5001
+    assert len(pii.detect("\n".join(f"<{p}>" for p in people), LEX)) == 5000
+    assert pii.detect("References: <1@core.example>" + lines.replace(",", ""), LEX) == []

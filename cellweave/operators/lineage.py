@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.hierarchy import hierarchies
+from cellweave.operators import hierarchy
 from cellweave.schemas import value
 from cellweave.session import Stored
 
@@ -53,7 +53,7 @@ def cycles(tracks: DataFrame, divisions: DataFrame, exited: DataFrame) -> DataFr
     parent = e.groupBy("dataset_id", F.col("child").alias("track_id")).agg(F.min("parent").alias("parent_id"))
     mothers = divisions.select("dataset_id", F.col("mother_track_id").alias("track_id")).distinct().withColumn("divided", F.lit(True))
     left = exited.select(*KEY).where("track_id >= 0").distinct().withColumn("exited", F.lit(True))
-    depth = hierarchies(e).select("dataset_id", F.col("node").cast("int").alias("track_id"), F.col("depth").alias("_depth"), F.lit(True).alias("_known"))
+    depth = hierarchy.depths(e).select("dataset_id", F.col("node").cast("int").alias("track_id"), F.col("depth").alias("_depth"), F.lit(True).alias("_known"))
     c = s.join(parent, KEY, "left").join(mothers, KEY, "left").join(left, KEY, "left").join(depth, KEY, "left")
     observed = F.col("parent_id").isNotNull()
     cause = F.when(F.col("divided"), "divided").when(F.col("exited"), "exited").otherwise("censored")
@@ -72,15 +72,18 @@ def leaves(tracks: DataFrame, divisions: DataFrame) -> DataFrame:
     return tracks.select(*KEY).distinct().join(divisions.select("dataset_id", F.col("mother_track_id").alias("track_id")), KEY, "left_anti")
 
 
-def descendants_of(tree: DataFrame, wanted: DataFrame, inclusive: bool = True) -> DataFrame:
-    """(dataset_id, track_id, descendant) of the wanted tracks, from `hierarchies`; inclusive adds the track itself."""
-    hit = tree.withColumnRenamed("node", "track_id").join(wanted.select(*KEY).distinct(), KEY, "left_semi")
-    found = F.array_union("descendants", F.array("track_id")) if inclusive else F.array_remove("descendants", F.col("track_id"))
-    return hit.select(*KEY, F.explode(found).alias("descendant"))
+def descendants_of(links_: DataFrame, wanted: DataFrame, inclusive: bool = True) -> DataFrame:
+    """(dataset_id, track_id, descendant) of the wanted tracks over the links; inclusive adds the track itself, where the links know it."""
+    nodes = wanted.select("dataset_id", F.col("track_id").cast("bigint").alias("node")).distinct()
+    found = hierarchy.descendants(links_, nodes).where("node <> descendant")
+    if inclusive:
+        known = links_.select("dataset_id", F.explode(F.array("parent", "child")).cast("bigint").alias("node")).distinct()
+        found = found.unionByName(nodes.join(known, ["dataset_id", "node"], "left_semi").withColumn("descendant", F.col("node")))
+    return found.withColumnRenamed("node", "track_id")
 
 
 def ancestors_of(tree: DataFrame, wanted: DataFrame, inclusive: bool = False) -> DataFrame:
-    """(dataset_id, track_id, ancestor) along the least mothers; a track without a root has none."""
+    """(dataset_id, track_id, ancestor) along the least mothers, from `hierarchy.paths`; a track without a root has none."""
     hit = tree.withColumnRenamed("node", "track_id").join(wanted.select(*KEY).distinct(), KEY, "left_semi")
     return hit.select(*KEY, F.explode("path").alias("ancestor")).where(F.lit(inclusive) | (F.col("ancestor") != F.col("track_id")))
 
@@ -120,12 +123,12 @@ def mother_branch(tracks: DataFrame, divisions: DataFrame, open_ends: DataFrame,
     else:
         chosen = follow(F.col("open_end"), F.struct(F.col("d1_track_id").alias("id"), F.col("_d1").alias("y")), F.struct(F.col("d2_track_id").alias("id"), F.col("_d2").alias("y")))
     steps = d.select("dataset_id", F.col("mother_track_id").alias("parent"), chosen.alias("child")).where("child >= 1")
-    tree = Stored(hierarchies(steps)).df
-    at = tree.select("dataset_id", F.col("node").alias("track_id"), "descendants", "depth")
-    base = start.join(at, KEY, "left")
-    members = base.select("dataset_id", F.col("depth").alias("_from"), F.explode(F.array_union(F.array(F.col("track_id").cast("bigint")), F.coalesce("descendants", F.array().cast("array<bigint>")))).alias("track_id"))
-    out = members.join(at.select(*KEY, "depth"), KEY, "left")
-    return out.select("dataset_id", F.col("track_id").cast("int").alias("track_id"), F.coalesce(F.col("depth") - F.col("_from"), F.lit(0)).cast("int").alias("step"))
+    tree = hierarchy.paths(steps).where("root IS NOT NULL")
+    base = start.select("dataset_id", F.col("track_id").cast("bigint").alias("_start"))
+    below = tree.join(base, "dataset_id").withColumn("_at", F.array_position("path", F.col("_start"))).where("_at > 0 AND node <> _start")
+    members = below.select("dataset_id", F.col("node").alias("track_id"), (F.col("depth") + 1 - F.col("_at")).alias("step"))
+    out = base.select("dataset_id", F.col("_start").alias("track_id"), F.lit(0).alias("step")).unionByName(members)
+    return out.select("dataset_id", F.col("track_id").cast("int").alias("track_id"), F.col("step").cast("int").alias("step"))
 
 
 def union_of(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -45,9 +45,9 @@ def cost_above_best(candidates: DataFrame) -> DataFrame:
 
 
 def dendrogram(tree: DataFrame) -> DataFrame:
-    """(dataset_id, track_id, depth, place) of `hierarchies`: leaves side by side in the order of their paths, each track in the middle of
+    """(dataset_id, track_id, depth, place) of `hierarchy.paths`: leaves side by side in the order of their paths, each track in the middle of
     its outermost leaves; tracks without a root are left out."""
-    rooted = tree.where("path IS NOT NULL").select("dataset_id", F.col("node").alias("track_id"), "depth", "path", "descendants")
+    rooted = tree.where("path IS NOT NULL").select("dataset_id", F.col("node").alias("track_id"), "depth", "path")
     mothers = tree.where("parent IS NOT NULL").select("dataset_id", F.col("parent").alias("track_id")).distinct()
     leaves = with_positions(rooted.join(mothers, KEY, "left_anti"), ["dataset_id"], [F.col("path")], "rank")
     above = leaves.select("dataset_id", F.explode("path").alias("track_id"), "rank").groupBy(*KEY).agg(((F.min("rank") + F.max("rank")) / 2).alias("place"))

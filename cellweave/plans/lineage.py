@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.operators import hierarchy, quality, review
 from cellweave.operators import lineage as lin
-from cellweave.operators import quality, review
-from cellweave.operators.hierarchy import hierarchies
 from cellweave.plans.candidates import _rounded
 from cellweave.session import table
 
@@ -25,7 +24,7 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchies(lin.links(_divisions(spark, sf_dir)))
+    return hierarchy.paths(lin.links(_divisions(spark, sf_dir)))
 
 
 def cycles_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def cycles_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir).select("dataset_id", F.col("node").alias("track_id"), F.col("depth").alias("generation"))
+    return hierarchy.depths(lin.links(_divisions(spark, sf_dir))).select("dataset_id", F.col("node").alias("track_id"), F.col("depth").alias("generation"))
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all tracks that are in cycles."""
-    return lin.descendants_of(_tree(spark, sf_dir), table(spark, sf_dir, "cycles"), inclusive=False)
+    return lin.descendants_of(lin.links(_divisions(spark, sf_dir)), table(spark, sf_dir, "cycles"), inclusive=False)
 
 
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:

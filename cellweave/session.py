@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +45,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_SCOPES: list[list[Stored]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes on leaving all tables that were stored inside; what was computed from them must be written or collected by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for t in _SCOPES.pop():
+            t.drop()
+
+
 class Stored:
-    """A DataFrame written to the shared folder, to cut its lineage; drop() deletes the files once nothing reads them."""
+    """A DataFrame written to the shared folder, to cut its lineage; drop(), or the end of a `scope`, deletes the files once nothing
+    reads them."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/cellweave/{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm

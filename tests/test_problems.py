@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import hierarchy, orphans, spikes
 from cellweave.operators.components import components
 from cellweave.operators.positions import with_positions, with_running_sums
+from cellweave.session import scope
 
 LINKS = "dataset_id STRING, parent BIGINT, child BIGINT"
 
@@ -34,21 +35,35 @@ def random_links(seed, n):
     return sorted({("d" if r.random() < 0.7 else "e", r.randrange(1, n), r.randrange(1, n)) for _ in range(n)})
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_hierarchies_against_brute_force(spark, limit):
-    rows = random_links(3, 40) + [("f", 1, 2), ("f", 2, 3), ("f", 1, 4), ("f", 4, 3), ("g", 7, 7), ("g", 7, 8)]
+@pytest.mark.parametrize("seed,n,limit", [(4, 60, 0)])
+def test_hierarchies_against_brute_force(spark, seed, n, limit):
+    rows = random_links(seed, n) + [("f", 1, 2), ("f", 2, 3), ("f", 1, 4), ("f", 4, 3), ("g", 7, 7), ("g", 7, 8), *[("h", i, i % 9 + 1) for i in range(1, 10)], ("h", 3, 1), ("h", 50, 5)]
     links = spark.createDataFrame(rows, LINKS)
-    got = {(r["dataset_id"], r["node"]): r for r in hierarchy.hierarchies(links, max_component=limit).collect()}
+    nodes = spark.createDataFrame([("f", 99), ("z", 1), ("f", 2), (None, 3), ("f", None)], "dataset_id STRING, node INT")
+    tree = {(r["dataset_id"], r["node"]): r for r in hierarchy.paths(links, nodes).collect()}
+    flat = {(r["dataset_id"], r["node"]): (r["parent"], r["root"], r["depth"]) for r in hierarchy.depths(links, nodes).collect()}
+    below_all = {}
+    for r in hierarchy.descendants(links).collect():
+        below_all.setdefault((r["dataset_id"], r["node"]), []).append(r["descendant"])
+    members, back = (x.collect() for x in hierarchy.cycles_of(links, max_core=limit))
+    cycle = {(r["dataset_id"], r["node"]): r["cycle"] for r in members}
+    cut = {tuple(r) for r in back}
+    assert len(cycle) == len(members) and cut <= set(rows)
+    assert tree["f", 99]["path"] == [99] and tree["z", 1]["depth"] == 0 and len(tree) == len({(d, x) for d, p, c in rows for x in (p, c)} | {("f", 99), ("z", 1)})
     for d in {r[0] for r in rows}:
         own = [(p, c) for x, p, c in rows if x == d]
         below = reach(own)
+        kept = reach([(p, c) for p, c in own if (d, p, c) not in cut])
+        assert not any(x in kept[x] for x in kept)
+        assert all(p in below[c] or p == c for x, p, c in cut if x == d)
         least = {}
         for p, c in own:
             least[c] = min(p, least.get(c, p))
         for node in {x for e in own for x in e}:
-            r = got[d, node]
-            assert set(r["descendants"]) == below.get(node, set())
-            assert r["on_cycle"] == (node in below.get(node, set()))
+            r = tree[d, node]
+            found = below_all.get((d, node), [])
+            assert sorted(found) == sorted(below.get(node, set()))
+            assert cycle.get((d, node)) == min((x for x in below.get(node, ()) if node in below.get(x, ())), default=None)
             path, seen = [node], {node}
             while path[0] in least and least[path[0]] not in seen:
                 path.insert(0, least[path[0]])
@@ -57,19 +72,26 @@ def test_hierarchies_against_brute_force(spark, limit):
                 assert r["path"] is None and r["root"] is None and r["depth"] is None
             else:
                 assert r["path"] == path and r["root"] == path[0] and r["depth"] == len(path) - 1
+            assert flat[d, node] == (least.get(node), r["root"], r["depth"])
 
 
 def test_hierarchies_ignore_nulls_copies_and_take_empty_tables(spark):
     rows = [("d", 1, 2), ("d", 1, 2), ("d", None, 3), (None, 1, 2), ("d", 2, None)]
-    out = hierarchy.hierarchies(spark.createDataFrame(rows, LINKS).withColumn("node", F.lit("x")).withColumn("part", F.lit(1))).collect()
-    assert sorted((r["dataset_id"], r["node"], r["depth"]) for r in out) == [("d", 1, 0), ("d", 2, 1)]
-    assert hierarchy.hierarchies(spark.createDataFrame([], LINKS)).count() == 0
-
-
-def test_long_chain_has_its_depth(spark):
-    links = spark.createDataFrame([("d", i, i + 1) for i in range(1, 300)], LINKS)
-    last = hierarchy.hierarchies(links).where("node = 300").first()
-    assert last["depth"] == 299 and last["root"] == 1 and len(last["path"]) == 300
+    links = spark.createDataFrame(rows, LINKS).withColumn("node", F.lit("x")).withColumn("part", F.lit(1))
+    assert sorted((r["dataset_id"], r["node"], r["depth"]) for r in hierarchy.paths(links).collect()) == [("d", 1, 0), ("d", 2, 1)]
+    assert [tuple(r) for r in hierarchy.descendants(links).collect()] == [("d", 1, 2)]
+    none = spark.createDataFrame([], LINKS)
+    assert hierarchy.paths(none).count() == hierarchy.descendants(none).count() == hierarchy.cycles_of(none)[0].count() == hierarchy.cycles_of(links)[1].count() == 0
+
+
+def test_long_chain_and_long_cycle(spark):
+    chain = spark.range(1, 50_000).select(F.lit("d").alias("dataset_id"), F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    last = hierarchy.depths(chain).where("node = 50000").first()
+    assert last["depth"] == 49_999 and last["root"] == 1
+    with scope():
+        ring = chain.where("parent < 2000").union(chain.where("parent = 1").select("dataset_id", F.lit(2000), F.lit(1)))
+        members, back = hierarchy.cycles_of(ring, max_core=600)
+        assert members.agg(F.count("*"), F.max("cycle")).first() == (2000, 1) and back.count() == 1
 
 
 def test_lineage_links_leave_out_what_does_not_count(spark):

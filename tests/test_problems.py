@@ -188,7 +188,7 @@ def make_flags(n=600, seed=2):
     return rows
 
 
-@pytest.mark.parametrize("block,margin", [(8192, 512), (100, 40)])
+@pytest.mark.parametrize("block,margin", [(8192, 512), (64, 128)])
 def test_readings_far_off_stuck_and_impossible(spark, block, margin):
     rows = make_flags()
     wrong = {50: (4, 120.0), 120: (5, -9999.0), 200: (6, 0.9 + 0.2), 260: (4, float("nan")), 330: (6, float("inf"))}
@@ -208,8 +208,25 @@ def test_readings_far_off_stuck_and_impossible(spark, block, margin):
     assert spikes.implausible_readings(nulls).count() == 0
 
 
-def test_stuck_runs_depend_on_how_often_values_repeat():
-    x = np.r_[np.arange(50), np.full(7, 3.5), np.arange(50)]
-    assert spikes.stuck(x).sum() == 7
-    coarse = np.repeat(np.arange(200) % 7, 3).astype(float)
-    assert not spikes.stuck(coarse).any()
+def test_still_runs_are_those_without_innovations():
+    x = np.r_[np.arange(50), np.full(7, 3.5), np.arange(50), np.nan, np.nan]
+    assert (spikes.still_runs(x, np.array([0])) == np.r_[np.ones(50), np.full(7, 7), np.ones(50), 0, 0]).all()
+    assert spikes.still_runs(x, np.array([0, 53]))[[52, 53]].tolist() == [3, 4]
+
+
+def test_runs_that_chance_explains_are_not_stuck(spark):
+    least = spark.createDataFrame([(600, 0, 600), (600, 300, 600), (60_000, 300, 600)], "n INT, e INT, k INT").select(spikes.windows(F.col("n"), F.col("e"), F.col("k")).alias("w"))
+    assert [r["w"] for r in least.collect()] == [6, 14, 21]
+
+
+def test_one_long_source_is_judged_alike_in_blocks_of_any_size(spark):
+    rows = make_flags(20_000, 7)
+    for t in range(77, 20_000, 611):
+        rows[t][4 + t % 2] *= 2.6
+        rows[t][6] = round(1 - rows[t][5] / rows[t][4], 4)
+    for t in range(9_990, 10_020):
+        rows[t][4] = 44.25
+        rows[t][6] = round(1 - rows[t][5] / 44.25, 4)
+    df = spark.createDataFrame([tuple(r) for r in rows], FLAGS)
+    found = [{r["t"] for r in spikes.implausible_readings(df, block=b).collect()} for b in (64, 512, 1 << 20)]
+    assert found[0] == found[1] == found[2] >= set(range(9_990, 10_020)) | {t for t in range(77, 20_000, 611)}

@@ -4,6 +4,9 @@ A value becomes a 64-bit integer in the same order. Round after round its next 1
 digits chosen so far only, and for every target rank the digit that holds it is followed. Counts of digits add up, so histograms of
 separate parts (labels_dir, t, days) are summed first and give what the whole table gives. After `digits` rounds a value is known
 to its upper 16*digits bits; with 4 it is exact, with fewer the answer carries the ranks that it may have.
+
+Parts whose rows are gone are combined from summaries: the exact values at evenly spaced ranks of each part (by the same selection), each
+standing for the values since the one before. Merged summaries give every percentile to within the chosen share of all ranks.
 """
 
 from __future__ import annotations
@@ -114,3 +117,34 @@ def radix_quantiles(df: DataFrame, group: str, columns: Sequence[str], percents:
     names = F.array(*[F.lit(c) for c in columns])
     error = F.when(F.lit(digits == 4), F.lit(0)).otherwise(F.col("inside") - 1).cast("bigint")
     return targets.select(F.col("grp").alias(group), names[F.col("col")].alias("column_name"), "pct", value.alias("value"), (F.col("passed") + F.col("rank")).alias("rank"), error.alias("rank_error"), F.col("total").alias("n"))
+
+
+SUMMARY = "grp STRING, part STRING, column_name STRING, value DOUBLE, weight BIGINT"
+
+
+def summarise(df: DataFrame, group: str, columns: Sequence[str], part: str, error: float = 0.002) -> DataFrame:
+    """(grp, part, column_name, value, weight): what to keep of each part (a day, a delivery), at most 1/error + 1 values for each group, part
+    and column. `value` is an exact order statistic, `weight` the number of values after the one before it up to it. Summaries of different
+    parts are simply put together; NULL and NaN are no values, a NULL group or part is one of its own."""
+    if not 0 < error < 1:
+        raise ValueError("error must be between 0 and 1")
+    # the least value has rank 1 whatever the size
+    percents = [100 * k * error for k in range(int(1 / error) + 1)] + [100.0]
+    both = df.withColumn("_cw_both", F.struct(F.col(group).cast("string").alias("g"), F.col(part).cast("string").alias("p")))
+    values = radix_quantiles(both, "_cw_both", columns, sorted({round(min(p, 100.0), 9) for p in percents}))
+    once = values.groupBy("_cw_both", "column_name", "value").agg(F.max("rank").alias("rank"))
+    before = F.lag("rank", 1, 0).over(Window.partitionBy("_cw_both", "column_name").orderBy("rank"))
+    return once.select(F.col("_cw_both.g").alias("grp"), F.col("_cw_both.p").alias("part"), "column_name", "value", (F.col("rank") - before).cast("bigint").alias("weight"))
+
+
+def merged_quantiles(summaries: DataFrame, percents: Sequence[float] = PERCENTS) -> DataFrame:
+    """(grp, column_name, pct, value, n) from summaries of any parts, without their rows. The true rank of `value` is its rank in the merged
+    summaries or more, by less than `error` of all values and one for each part."""
+    rows = summaries.groupBy("grp", "column_name", "value").agg(F.sum("weight").alias("w"))
+    # at most 1/error values for each part
+    each = Window.partitionBy("grp", "column_name")
+    cum = rows.withColumn("upto", F.sum("w").over(each.orderBy("value"))).withColumn("n", F.sum("w").over(each))
+    exact = [Fraction(str(p)) / 100 for p in percents]
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("pct"), F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(q.numerator) / F.lit(q.denominator))).alias("rank")) for p, q in zip(percents, exact)])
+    hit = cum.withColumn("x", F.explode(ranks)).where("upto >= x.rank AND upto - w < x.rank")
+    return hit.select("grp", "column_name", "x.pct", "value", "n")

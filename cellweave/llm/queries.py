@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import mix, pii, quantiles, splits, tokens, topn
-from cellweave.session import table
+from cellweave.session import Stored, table
 
 FEATURES = ("link_area_ratio_median", "max_shrink_pct")
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> list[tuple[str, float]]:
-    """The wanted shares of split_shares; the table has a row per split, three in all."""
-    rows = table(spark, sf_dir, "split_shares").groupBy("split_name").agg(F.max("share").alias("share")).where("split_name IS NOT NULL").limit(1000).collect()
+    """The wanted shares of split_shares, a table of parameters with a row per split."""
+    rows = table(spark, sf_dir, "split_shares").groupBy("split_name").agg(F.max("share").alias("share")).where("split_name IS NOT NULL").collect()
     return [(r["split_name"], r["share"]) for r in rows]
 
 
@@ -27,6 +27,12 @@ def p1_merged_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("dataset_id", "column_name", "pct", "value", "rank", "n")
 
 
+def p1_summary_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from stored summaries of the parts alone."""
+    kept = Stored(quantiles.summarise(table(spark, sf_dir, "scored"), "dataset_id", FEATURES, "labels_dir")).df
+    return quantiles.merged_quantiles(kept).withColumnRenamed("grp", "dataset_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_candidates(table(spark, sf_dir, "scored")).select("pair_id", "sample_rank")
 
@@ -44,12 +50,17 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_records(records, _shares(spark, sf_dir)).select("dataset_id", "pair_id", "sample_rank", "split_name")
 
 
-def p6_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each split, and of entities found in more than one (none)."""
-    out = p6_splits(spark, sf_dir)
-    sizes = out.groupBy("split_name").agg(F.count("*").alias("n_rows"))
-    parted = out.where("dataset_id IS NOT NULL").groupBy("dataset_id").agg(F.countDistinct("split_name").alias("k")).where("k > 1")
-    return sizes.crossJoin(parted.agg(F.count("*").alias("n_parted")))
+def p6_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each dataset_id with the least one it is joined to."""
+    return splits.entity_components(table(spark, sf_dir, "scored")).select(F.col("entity").alias("dataset_id"), "component")
+
+
+def p6_parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of dataset_id and of pair_id have rows in more than one split, and how many rows have none."""
+    out = Stored(p6_splits(spark, sf_dir)).df
+    parted = [out.where(F.col(c).isNotNull()).groupBy(c).agg(F.countDistinct("split_name").alias("k")).select(F.lit(c).alias("what"), (F.col("k") > 1).cast("int").alias("bad")) for c in ("dataset_id", "pair_id")]
+    none = out.select(F.lit("row").alias("what"), F.col("split_name").isNull().cast("int").alias("bad"))
+    return parted[0].union(parted[1]).union(none).groupBy("what").agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +75,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source keeps to its target: its share of the sources that have tokens to within one in a hundred, its repeats within max_repeats."""
+    targets = table(spark, sf_dir, "mix_targets")
+    shares = Stored(mix.mix_documents(table(spark, sf_dir, "documents"), targets)[1]).df
+    whole = shares.where("n_tokens > 0").agg(F.sum("target_share").alias("w"))
+    limit = targets.where("source IS NOT NULL").groupBy("source").agg(F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    judged = shares.crossJoin(F.broadcast(whole)).join(limit, "source")
+    near = (F.col("n_tokens") == 0) | (F.abs(F.col("share") - F.col("target_share") / F.col("w")) < 0.01)
+    return judged.select("source", (F.col("n_tokens") > 0).alias("has_tokens"), near.alias("near_target"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found_values(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
 
@@ -76,7 +98,7 @@ def p9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), secret="example secret")
 
 
-QUERIES = {f.__name__: f for f in (p1_quantiles, p1_merged_quantiles, p5_found, p5_top3, p6_found, p6_splits, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted, p9_surrogates)}
+QUERIES = {f.__name__: f for f in (p1_quantiles, p1_merged_quantiles, p1_summary_quantiles, p5_found, p5_top3, p6_found, p6_components, p6_splits, p6_parted, p7_ids, p8_mix, p8_shares, p8_bounds, p9_found, p9_redacted, p9_surrogates)}
 
 _VALUES = """
 WITH v AS (
@@ -99,17 +121,24 @@ r AS (
 SELECT pair_id, sample_rank{more} FROM r WHERE position <= 3
 """
 
-SQL = {
-    "p1_quantiles": _VALUES,
-    "p1_merged_quantiles": _VALUES,
-    "p5_found": _TOP.format(more=""),
-    "p5_top3": _TOP.format(more=", position"),
-    "p6_found": """
+_JOINED = """
 WITH RECURSIVE l AS (
   SELECT DISTINCT a.dataset_id AS a, b.dataset_id AS b
   FROM (SELECT DISTINCT dataset_id, pair_id FROM scored) a JOIN (SELECT DISTINCT dataset_id, pair_id FROM scored) b USING (pair_id)
   WHERE a.dataset_id <> b.dataset_id),
 c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
-SELECT a AS dataset_id_a, b AS dataset_id_b FROM c WHERE a < b
-""",
+"""
+
+SQL = {
+    "p1_quantiles": _VALUES,
+    "p1_merged_quantiles": _VALUES,
+    "p5_found": _TOP.format(more=""),
+    "p5_top3": _TOP.format(more=", position"),
+    "p8_bounds": """
+SELECT t.source, count(d.doc_id) > 0 AS has_tokens, TRUE AS near_target, TRUE AS within_repeats
+FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL AND target_share > 0) t LEFT JOIN (SELECT * FROM documents WHERE length(text) > 0) d ON t.source = d.source GROUP BY t.source""",
+    "p6_parted": """
+SELECT 'dataset_id' AS what, count(DISTINCT dataset_id) AS n, 0::BIGINT AS n_bad FROM scored UNION ALL SELECT 'pair_id', count(DISTINCT pair_id), 0 FROM scored UNION ALL SELECT 'row', count(*), 0 FROM scored""",
+    "p6_components": _JOINED + "SELECT d.dataset_id, least(d.dataset_id, coalesce(min(c.b), d.dataset_id)) AS component FROM (SELECT DISTINCT dataset_id FROM scored WHERE dataset_id IS NOT NULL) d LEFT JOIN c ON d.dataset_id = c.a GROUP BY d.dataset_id",
+    "p6_found": _JOINED + "SELECT a AS dataset_id_a, b AS dataset_id_b FROM c WHERE a < b",
 }

@@ -2,9 +2,9 @@
 
 Two entities of one record are linked. The links of all records that share a second entity (a pair_id) are contracted to a star on its
 least first entity (dataset_id), so the graph has no more nodes than there are datasets, and hash-to-min settles it.
-Every component then picks the split with the least -ln(hash)/share. A few large components make shares uneven under one hash, so
-the same rule is tried under `tries` salts on the component weights, a table of one row per component, and the salt nearest to the
-wanted shares counts.
+Every component then picks the split with the least -ln(hash)/share, from its own name and a fixed salt alone: records that come later
+move no component that they don't join. Shares are met as closely as the components' sizes let them; a stored table of pins can put
+named components, such as a few very large ones, where they are wanted.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from cellweave.operators.components import components
 from cellweave.session import Stored, small_side
 
-TRIES = 128
+#: Salt of the hash; another one gives other splits.
+SALT = 0
 
 
 def entity_components(records: DataFrame, a: str = "dataset_id", b: str = "pair_id") -> DataFrame:
@@ -48,11 +49,13 @@ def rendezvous(component: Column, salt: Column, splits: list[tuple[str, float]])
     return F.array_min(F.array(*[cost(n, w) for n, w in splits]))["s"]
 
 
-def split_records(records: DataFrame, shares: list[tuple[str, float]], a: str = "dataset_id", b: str = "pair_id", tries: int = TRIES) -> DataFrame:
+def split_records(records: DataFrame, shares: list[tuple[str, float]], a: str = "dataset_id", b: str = "pair_id", salt: int = SALT, pins: DataFrame | None = None) -> DataFrame:
     """records plus `component` and `split_name`, in place of columns of that name. Records that share `a` or `b`, directly or through others, have one split.
 
     NULL joins nothing: a record without `a` belongs to the component of its `b`, one without both is a component by its
-    content, so copies stay together. shares: (name, share), share > 0. Ties of a hash go to the name first in order.
+    content, so copies stay together. shares: (name, share), share > 0. Ties of a hash go to the name first in order. pins(component, split_name):
+    components whose split is given; of two pins of one component the lesser name counts. Splits depend on component, shares, salt and pins
+    only; a component is named by its least `a`, so it moves only if it is joined to one with a lesser name.
     """
     splits = sorted((n, s) for n, s in shares if s and s > 0)
     if not splits:
@@ -67,12 +70,8 @@ def split_records(records: DataFrame, shares: list[tuple[str, float]], a: str =
     with_a = rows.where(F.col(a).isNotNull()).join(named, F.col(a) == F.col("_cw_entity"), "left").drop("_cw_entity").withColumnRenamed("_cw_component", "component")
     without = rows.where(F.col(a).isNull()).join(of_b, F.col(b) == F.col("_cw_b"), "left")
     without = without.withColumn("component", F.coalesce("_cw_component", own)).drop("_cw_b", "_cw_component")
-    placed = Stored(with_a.unionByName(without)).df
-    weights = Stored(placed.groupBy("component").agg(F.count("*").alias("w"))).df
-    salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    total = sum(s for _, s in splits)
-    by = salted.groupBy("salt", rendezvous(F.col("component"), F.col("salt"), splits).alias("s")).agg(F.sum("w").alias("w"))
-    wide = by.groupBy("salt").agg(F.sum("w").alias("all"), *[F.sum(F.when(F.col("s") == n, F.col("w")).otherwise(0)).alias(f"s{i}") for i, (n, _) in enumerate(splits)])
-    off = sum((F.abs(F.col(f"s{i}") / F.col("all") - F.lit(s / total)) for i, (_, s) in enumerate(splits)), F.lit(0.0))
-    best = wide.select("salt", off.alias("off")).orderBy("off", "salt").first()
-    return placed.withColumn("split_name", rendezvous(F.col("component"), F.lit(best["salt"] if best else 0), splits))
+    out = with_a.unionByName(without).withColumn("split_name", rendezvous(F.col("component"), F.lit(salt), splits))
+    if pins is None:
+        return out
+    given = small_side(Stored(pins.groupBy(F.col("component").alias("_cw_pin")).agg(F.min("split_name").alias("_cw_split"))).df)
+    return out.join(given, F.col("component") == F.col("_cw_pin"), "left").withColumn("split_name", F.coalesce("_cw_split", "split_name")).drop("_cw_pin", "_cw_split")

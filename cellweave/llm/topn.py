@@ -16,15 +16,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.session import Stored
+
 
 def _first_of_each(group: str, item: Sequence[str], n: int):
-    """Arrow batches in order to their first n distinct items per group, with partition and local position."""
+    """Arrow batches in order to their first n distinct items per group, with partition, local position and whether the group is the
+    first of its partition, that is, may go on from the one before."""
 
     def run(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        last_group, last_item, seen = None, None, 0
+        last_group, last_item, seen, groups = None, None, 0, 0
         for batch in batches:
             rows = batch.num_rows
             if not rows:
@@ -54,10 +57,13 @@ def _first_of_each(group: str, item: Sequence[str], n: int):
             head = first[0] if len(first) else rows
             local[:head] += seen
             keep = new_item & (local <= n)
+            # the first group is new in the first row of the partition only
+            number = np.cumsum(new_group) + groups
+            groups = int(number[-1])
             seen, last_group, last_item = int(local[-1]), (g[rows - 1].as_py(),), [c[rows - 1].as_py() for c in items]
             if keep.any():
                 kept = batch.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.full(kept.num_rows, pid), pa.int32()), pa.array(local[keep], pa.int64())], names=[*kept.schema.names, "_pid", "_local"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.full(kept.num_rows, pid), pa.int32()), pa.array(local[keep], pa.int64()), pa.array(number[keep] == 1)], names=[*kept.schema.names, "_pid", "_local", "_first"])
 
     return run
 
@@ -71,11 +77,16 @@ def top_n(df: DataFrame, group: str, item: Sequence[str], order: Sequence[Column
     columns = list(dict.fromkeys([group, *item, *keep]))
     rows = df.where(F.col(group).isNotNull())
     ordered = rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order).select(*columns)
-    schema = T.StructType([*ordered.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())])
-    kept = ordered.mapInArrow(_first_of_each(group, list(item), n), schema)
-    # at most n rows of a group from each partition: the prefix sum of their counts gives the position
-    position = F.row_number().over(Window.partitionBy(group).orderBy("_pid", "_local"))
-    return kept.withColumn("position", position).where(F.col("position") <= n).drop("_pid", "_local")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_first", T.BooleanType())])
+    kept = Stored(ordered.mapInArrow(_first_of_each(group, list(item), n), schema)).df
+    # only a partition's first group can have begun before it: a group per partition at most, which is what makes these tables small
+    going_on = F.broadcast(kept.where("_first").select(group).distinct())
+    counts = kept.join(going_on, group, "left_semi").groupBy(group, "_pid").agg(F.max("_local").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), F.sum("_n").over(earlier).alias("_before"))
+    placed = kept.join(F.broadcast(before), (F.col(group) == F.col("_g")) & (F.col("_pid") == F.col("_p")), "left")
+    position = F.col("_local") + F.coalesce("_before", F.lit(0))
+    return placed.withColumn("position", position).where(F.col("position") <= n).select(*columns, "position")
 
 
 def top_candidates(scored: DataFrame, n: int = 3) -> DataFrame:

@@ -41,6 +41,22 @@ def test_fewer_digits_bound_the_rank(spark):
         assert below < x["rank"] <= below + x["rank_error"] + 1
 
 
+def test_summaries_of_days_bound_the_rank_without_their_rows(spark):
+    r = random.Random(11)
+    rows = [(r.choice(["a", "b", None]), r.choice("xyz"), r.choice([1.0, None, float("nan"), r.gauss(0, 5), float(r.randrange(9)), -1e300])) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "g STRING, day STRING, v DOUBLE")
+    days = [quantiles.summarise(df.where(F.col("day") == d), "g", ["v"], "day", 0.02).collect() for d in "xyz"]
+    assert max(sum(x["grp"] == g for x in d) for d in days for g in ("a", "b", None)) <= 52
+    kept = spark.createDataFrame([tuple(x) for d in days for x in d], quantiles.SUMMARY)
+    out = quantiles.merged_quantiles(kept).collect()
+    assert len(out) == 21
+    for x in out:
+        own = sorted(v for g, _, v in rows if g == x["grp"] and v is not None and v == v)
+        low, high = sum(v < x["value"] for v in own) + 1, sum(v <= x["value"] for v in own)
+        want = max(1, -(-len(own) * x["pct"] // 100))
+        assert x["n"] == len(own) and low - 0.02 * len(own) - 3 <= want <= high
+
+
 def test_quantiles_of_nothing(spark):
     assert quantiles.radix_quantiles(spark.createDataFrame([], WIDE), "g", ["v"]).count() == 0
     assert quantiles.radix_quantiles(spark.createDataFrame([("a", "x", None, float("nan"), "k", 1)], WIDE), "g", ["v", "w"]).count() == 0
@@ -101,6 +117,15 @@ def test_splits_part_nothing_that_is_related(spark):
             group[d] = whole
     assert pairs == {(a, b) for g in group.values() for a in g for b in g if a < b}
     assert splits.split_records(spark.createDataFrame([], SPLIT), [("train", 1.0)]).count() == 0
+    # later records of other sources move none of those before; a pin moves its component only
+    shares = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
+    later = df.union(spark.createDataFrame([(f"zz{i}", f"zp{i % 90}", "x", "y", "z") for i in range(300)], SPLIT))
+    of = lambda d, **o: {(x["dataset_id"], x["pair_id"]): x["split_name"] for x in splits.split_records(d, shares, **o).collect()}
+    first, second = of(df), of(later)
+    assert all(second[k] == v for k, v in first.items())
+    name = next(x["component"] for x in out if x["split_name"] == "train" and x["component"].startswith("a:"))
+    pinned = splits.split_records(df, shares, pins=spark.createDataFrame([(name, "test")], "component STRING, split_name STRING")).collect()
+    assert all(x["split_name"] == ("test" if x["component"] == name else first[x["dataset_id"], x["pair_id"]]) for x in pinned)
     assert splits.joined_pairs(spark.createDataFrame([], SPLIT)).count() == 0
 
 
@@ -160,12 +185,30 @@ def test_mix_reaches_its_shares_within_repeats(spark):
 
 
 def test_pfair_slots_keep_within_a_block():
-    blocks = {"a": 61, "b": 30, "c": 8, "d": 1}
-    slots = mix.period(blocks)
-    assert sorted(t for v in slots.values() for t in v) == list(range(100))
-    for s, n in blocks.items():
+    blocks = [61, 30, 8, 1]
+    order, numbers, state = mix.earliest_deadlines(blocks, [0] * 4, 0, 100)
+    assert state == blocks and sorted(zip(order, numbers)) == [(i, k) for i, n in enumerate(blocks) for k in range(n)]
+    for i, n in enumerate(blocks):
         for t in range(101):
-            assert abs(sum(x < t for x in slots[s]) - n * t / 100) < 1
+            assert abs(order[:t].count(i) - n * t / 100) < 1
+
+
+def test_slots_in_segments_are_those_of_one_run(spark):
+    r = random.Random(9)
+    for blocks in ([r.randrange(1, 900) for _ in range(12)], [3, 2000, 1, 1999, 700], [5]):
+        order, numbers, _ = mix.earliest_deadlines(blocks, [0] * len(blocks), 0, sum(blocks))
+        got = mix.block_slots(spark, blocks, 256, 16).orderBy("slot").collect()
+        assert [tuple(x) for x in got] == [(i, k, t) for t, (i, k) in enumerate(zip(order, numbers))]
+
+
+def test_ten_million_blocks_keep_within_a_block(spark):
+    blocks = [5_000_011, 2_999_989, 1_500_000, 499_983, 17]
+    total = sum(blocks)
+    weights = spark.createDataFrame(list(enumerate(blocks)), "source INT, n BIGINT")
+    slots = mix.block_slots(spark, blocks).join(F.broadcast(weights), "source")
+    # while block k is the last one begun, the ideal number is between k and k + 1 at either end of its slot
+    off = (F.col("slot") * F.col("n") < (F.col("block") - 1) * F.lit(total)) | (F.col("slot") * F.col("n") < F.col("block") * F.lit(total) - F.col("n")) | ((F.col("slot") + 1) * F.col("n") >= (F.col("block") + 1) * F.lit(total) + F.col("n"))
+    assert slots.agg(F.count("*"), F.sum(off.cast("int")), F.max("slot"), F.sum("slot")).first() == (total, 0, total - 1, total * (total - 1) // 2)
 
 
 def test_a_given_total_is_filled_up():

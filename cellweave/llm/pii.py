@@ -8,21 +8,25 @@ corpus and from name_parts. Detection is one pass in Arrow batches; surrogates a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave.operators.positions import with_positions
 from cellweave.session import Stored
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Entries of the learned lexicon, by number of documents; the names known beforehand come on top.
-MAX_LEXICON = 100_000
+#: Entries of each kind of the learned lexicon that are shared with every task, the most frequent; the rest reach their texts by a join.
+SHARED_LEXICON = 100_000
 
 # fixed values: words of display names that are no person's
 ROLE_WORDS = frozenset(
@@ -65,10 +69,12 @@ _VALUE = re.compile(
     rf"|[A-Za-z]{{2}}(?:-|{_O})\d\d(?:-|{_O})\d\d(?:-|{_O})\d\d(?:-|{_O})[A-Da-d]|\d{{3}}-\d\d-\d{{4}}|\d{{3}}\.\d\d\.\d{{4}}|\d{{3}}{_G}\d\d{_G}\d{{4}}"
     rf"|\d\d{_G}\d{{3}}{_G}\d{{3}}{_G}\d{{3}}|\d{_G}\d{{3}}{_G}\d{{3}}{_G}\d{{4}}|[A-Za-z]{_O}\d{{3}}{_G}\d{{3}}{_G}\d{{3}}|[A-Za-z]\d[A-Za-z0-9]\d\d[A-Za-z0-9]\d{{3}}|[A-Za-z]{{1,2}}\d{{6,9}}|\d{{9,11}})(?![\w-]|\.\d)"
 )
-_HINTS = (
-    "tax", "Tax", "TAX", "ersonal", "PERSONAL", "curit", "CURIT", "nsurance", "NSURANCE", "assport", "ASSPORT", "assnummer", "eisepass", "ersicher", "teuer", "usweis", "asseport", "ASSEPORT", "NIE", "DNI",
-    "NIF", "NIR", "asaporte", "ASAPORTE", "SSN", "ssn", "fiscal",
-)
+# fixed values: what every label holds, in lower case; and labels that are words of other languages unless in capitals
+_HINTS = ("tax", "ersonal", "curit", "nsurance", "assport", "asseport", "assnummer", "eisepass", "ersicher", "teuer", "usweis", "asaporte", "ssn", "fiscal")
+_SHORT_HINTS = ("NIE", "DNI", "NIF", "NIR")
+#: The longest label, and the longest number, that the patterns below can match, with the widest gaps they allow.
+LABEL_REACH = 600
+_AND = re.compile(rf"{_O}(?:[,;/&]|{_G}(?:and|or|und|oder|et|ou|y|o)(?={_G})){_O}")
 _LONE_LETTER = re.compile(r"[A-Za-z]?\d{7,8}[ \x1f][A-Za-z]")
 _DIGIT, _ENCODED = re.compile(r"\d"), re.compile(r"=[0-9A-F]{2}")
 _BARE_ID = re.compile(
@@ -165,6 +171,24 @@ class Lexicon:
         for g, f in pairs:
             self.pairs.setdefault(g.lower(), set()).add(re.sub(r"\s+", " ", f.lower()))
 
+    @contextmanager
+    def also(self, entries: Iterable[tuple[str, str, str]]) -> Iterator[None]:
+        """With further (kind, w, family) for the time of the block."""
+        added = []
+        for kind, w, f in entries:
+            if kind == "pair":
+                if f not in self.pairs.setdefault(w, set()):
+                    self.pairs[w].add(f)
+                    added.append((self.pairs[w], f))
+            elif w not in (known := self.given if kind == "given" else self.family):
+                known.add(w)
+                added.append((known, w))
+        try:
+            yield
+        finally:
+            for known, w in added:
+                known.discard(w)
+
     def is_given(self, word: str) -> bool:
         w = word.lower()
         return w in self.given or "-" in w and all(p in self.given for p in w.split("-"))
@@ -202,13 +226,23 @@ def _is_identifier(t: str, s: int, fields: dict[int, bool]) -> bool:
     return found
 
 
+def _before(pattern: re.Pattern, t: str, at: int, width: int = 80) -> re.Match | None:
+    """The match of the pattern that ends at `at`, in a window that is widened for as long as it begins inside a word."""
+    while True:
+        low = max(0, at - width)
+        m = pattern.search(t, low, at)
+        if m or not low or not (t[low].isalnum() or t[low] in "_.+'-"):
+            return m
+        width *= 8
+
+
 def _emails(t: str) -> list[tuple[int, int]]:
     out = []
     fields: dict[int, bool] = {}
     at = t.find("@")
     while at >= 0:
         domain = _DOMAIN.match(t, at)
-        local = domain and _LOCAL_END.search(t, max(0, at - 80), at)
+        local = domain and _before(_LOCAL_END, t, at)
         if local and not _is_identifier(t, local.start(1), fields):
             out.append((local.start(1), domain.end()))
         at = t.find("@", domain.end() if domain else at + 1)
@@ -219,7 +253,7 @@ def _emails(t: str) -> list[tuple[int, int]]:
         patterns.append(_SPOKEN_LOW)
     for p in patterns:
         for m in p.finditer(t):
-            before = _BEFORE.search(t, max(0, m.start() - 100), m.start())
+            before = _before(_BEFORE, t, m.start())
             if before:
                 out.append((before.start(), m.end()))
     return out
@@ -238,23 +272,42 @@ def _places(t: str, parts: Iterable[str]) -> list[int]:
 def _ids(t: str) -> list[tuple[int, int]]:
     out = [m.span() for m in _BARE_ID.finditer(t)]
     done = 0
-    for at in sorted(_places(t, _HINTS)):
+    for at in sorted(_places(t.lower(), _HINTS) + _places(t, _SHORT_HINTS)):
         if at < done:
             continue
-        label = _LABEL.search(t, max(0, done, at - 120), at + 120)
+        label = _LABEL.search(t, max(0, done, at - LABEL_REACH), at + LABEL_REACH)
         if not label:
             continue
         done = label.end()
-        value = _VALUE.search(t, done, done + 180)
-        if value and not _DIGIT.search(_ENCODED.sub("", t[done : value.start()])):
+        # the value is the first number after the label, in its line or one of the two after it
+        stop = done
+        for _ in range(3):
+            stop = t.find("\x1f", stop + 1)
+            if stop < 0:
+                stop = len(t)
+                break
+        digit = next((d.start() for d in _DIGIT.finditer(t, done, stop) if not _in_encoded(t, d.start())), -1)
+        value = _VALUE.search(t, max(done, digit - 130), digit + LABEL_REACH) if digit >= 0 else None
+        while value and value.start() <= digit < value.end():
             s, e = value.span()
             # a lone letter after a number belongs to it in Spanish numbers only
             if _LONE_LETTER.fullmatch(value.group()) and label.group().upper() not in ("NIE", "DNI", "NIF"):
                 e -= 2
             out.append((s, e))
+            # further numbers of the same label
+            more = _AND.match(t, e)
+            value = more and _VALUE.match(t, more.end())
+            digit = value.end() - 1 if value else -1
+            while value and not t[digit].isdigit():
+                digit -= 1
     return out
 
 
+def _in_encoded(t: str, at: int) -> bool:
+    """Whether the digit at `at` belongs to a quoted-printable byte such as =C3."""
+    return bool(_ENCODED.match(t, at - 1) or _ENCODED.match(t, at - 2))
+
+
 def _phones(t: str) -> list[tuple[int, int]]:
     out = []
     done = 0
@@ -325,7 +378,7 @@ def _names(t: str, lex: Lexicon) -> list[tuple[int, int]]:
                         out.append((s, n2.end(3)))
                         at = n2.end(3)
                         continue
-        elif low in lex.pairs:
+        elif lex.pairs.get(low):
             n = _NEXT.match(t, e)
             if n and lex.is_pair(low, n.group(3)):
                 out.append((s, n.end(3)))
@@ -367,9 +420,11 @@ def detect(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     taken: list[tuple[int, int, str]] = []
     for kind, spans in (("email", _emails(t)), ("id_number", _ids(t)), ("address", _addresses(t)), ("phone", _phones(t)), ("name", _names(t, lex))):
         for s, e in spans:
-            if not any(s < b and a < e for a, b, _ in taken):
-                taken.append((s, e, kind))
-    return sorted(taken)
+            # those taken are in order and apart, so only the neighbours can overlap
+            at = bisect.bisect_left(taken, (s,))
+            if (at == len(taken) or taken[at][0] >= e) and (not at or taken[at - 1][1] <= s):
+                taken.insert(at, (s, e, kind))
+    return taken
 
 
 _DISPLAY = r"(?<![\p{L}'’-])([\p{Lu}][\p{L}'’-]+) ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+) <([^<>\s@]+)@"
@@ -446,36 +501,63 @@ def lexicon_entries(documents: DataFrame, name_parts: DataFrame, text: str = "te
     return Stored(rows[0].union(rows[1]).union(rows[2])).df
 
 
-def learn_lexicon(documents: DataFrame, name_parts: DataFrame, text: str = "text", max_entries: int = MAX_LEXICON) -> Lexicon:
-    """The lexicon of `lexicon_entries`. Each kind keeps its max_entries most frequent; that bound is what makes the lexicon fit to be shared
-    with every task."""
+def learn_lexicon(documents: DataFrame, name_parts: DataFrame, text: str = "text", shared: int = SHARED_LEXICON) -> tuple[Lexicon, DataFrame | None]:
+    """The lexicon of `lexicon_entries`: of each kind the most frequent entries, whose number bounds what every task holds, and a table
+    (kind, w, family) of all others, or None."""
     entries = lexicon_entries(documents, name_parts, text)
-    given, family, pairs = (entries.where(F.col("kind") == k).orderBy(F.desc("n"), "w").limit(max_entries).collect() for k in ("given", "family", "pair"))
-    return Lexicon([r["w"] for r in given], [r["w"] for r in family], [(r["w"], r["family"]) for r in pairs])
+    ranked = with_positions(entries, ["kind"], [F.desc("n"), F.col("w"), F.col("family")], "place")
+    first = ranked.where(F.col("place") < shared).select("kind", "w", "family").collect()
+    by = {k: [(r["w"], r["family"]) for r in first if r["kind"] == k] for k in ("given", "family", "pair")}
+    rest = Stored(ranked.where(F.col("place") >= shared).select("kind", "w", "family")).df if any(len(x) >= shared for x in by.values()) else None
+    return Lexicon([w for w, _ in by["given"]], [w for w, _ in by["family"]], by["pair"]), rest
+
+
+def _with_rest(texts: DataFrame, rest: DataFrame) -> DataFrame:
+    """texts(_text, ...) with _more, the entries of `rest` whose last word stands in the text: a join on words, so that no task holds them all."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}[\p{L}'’]*"), F.lit(0)))
+    said = texts.select(F.xxhash64("_text").alias("_h"), F.explode(words).alias("_word")).distinct()
+    last = rest.withColumn("_word", F.element_at(F.split(F.col("w"), "[ -]"), -1))
+    more = said.join(last, "_word").groupBy("_h").agg(F.collect_set(F.struct("kind", "w", "family")).alias("_more"))
+    return texts.withColumn("_h", F.xxhash64("_text")).join(more, "_h", "left").drop("_h")
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("found_text", T.StringType())]))
 
 
-def entities(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """(key, entities[, redacted]): the personal values of each text with kind, place and raw spelling; with_text adds the text with a
-    placeholder such as [EMAIL] for each. A NULL text has no values and stays NULL; every row of `documents` comes back."""
-    shared = documents.sparkSession.sparkContext.broadcast(learn_lexicon(documents, name_parts, text))
-    schema = T.StructType([documents.schema[key], T.StructField("entities", FOUND), *([T.StructField("redacted", T.StringType())] if with_text else [])])
+def entities(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, with_canon: bool = False, shared: int = SHARED_LEXICON) -> DataFrame:
+    """(key, entities[, redacted][, text_hash]): the personal values of each text with kind, place and raw spelling; with_text adds the text with a
+    placeholder such as [EMAIL] for each; with_canon adds to each value what its spellings have in common, and the hash of the text. A NULL text
+    has no values and stays NULL; every row of `documents` comes back."""
+    lexicon, rest = learn_lexicon(documents, name_parts, text, shared)
+    sent = documents.sparkSession.sparkContext.broadcast(lexicon)
+    found = T.ArrayType(T.StructType([*FOUND.elementType.fields, *([T.StructField("canon", T.StringType())] if with_canon else [])]))
+    extra = [T.StructField("redacted", T.StringType())] * with_text + [T.StructField("text_hash", T.LongType())] * with_canon
+    schema = T.StructType([documents.schema[key], T.StructField("entities", found), *extra])
+    names, kinds = found.elementType.fieldNames(), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+
     def run(batches):
-        lex = shared.value
+        lex = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            spans = [detect(x, lex) for x in texts]
-            flat = [(k, a, b, x[a:b]) for x, s in zip(texts, spans) for a, b, k in s]
-            parts = [pa.array(v, t) for v, t in zip(zip(*flat) if flat else [()] * 4, (pa.string(), pa.int32(), pa.int32(), pa.string()))]
+            texts = batch.column("_text").to_pylist()
+            if "_more" in batch.schema.names:
+                spans = []
+                for x, more in zip(texts, batch.column("_more").to_pylist()):
+                    with lex.also((m["kind"], m["w"], m["family"]) for m in more or ()):
+                        spans.append(detect(x, lex))
+            else:
+                spans = [detect(x, lex) for x in texts]
+            flat = [(k, a, b, x[a:b], *([canonical(k, x[a:b])] if with_canon else [])) for x, s in zip(texts, spans) for a, b, k in s]
+            parts = [pa.array(v, t) for v, t in zip(zip(*flat) if flat else [()] * len(names), kinds)]
             offsets = pa.array([0, *itertools.accumulate(map(len, spans))], pa.int32())
-            columns = [batch.column(0), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, ["kind", "start", "end", "found_text"]))]
+            columns = [batch.column(0), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, names))]
             if with_text:
                 columns.append(pa.array([redact(x, s) for x, s in zip(texts, spans)], pa.string()))
+            if with_canon:
+                columns.append(batch.column("_hash"))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return documents.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema)
+    rows = documents.select(F.col(key), F.col(text).alias("_text"), *([F.xxhash64(text).alias("_hash")] if with_canon else []))
+    return (rows if rest is None else _with_rest(rows, rest)).mapInArrow(run, schema)
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -495,40 +577,78 @@ def found_values(documents: DataFrame, name_parts: DataFrame) -> DataFrame:
     return e.select("doc_id", F.explode(one).alias("x")).select("doc_id", "x.kind", "x.found_text").distinct()
 
 
-# fixed values: parts that surrogate names and streets are put together from
+# fixed values: parts that surrogate names and streets are put together from; endings of given names by gender
 _STEMS = ("Al", "Bre", "Cor", "Dan", "El", "Far", "Gal", "Hes", "Il", "Jor", "Kal", "Lan", "Mar", "Nor", "Or", "Per", "Quin", "Ros", "Sel", "Tor", "Ul", "Ver", "Wen", "Yor", "Zan")
 _TAILS = ("abel", "adine", "amon", "aris", "elin", "enor", "eska", "etta", "iana", "ibert", "idor", "ilka", "imar", "inde", "isco", "olan", "omir", "onia", "orin", "ulla")
+_FEMALE, _MALE = ("adine", "eska", "etta", "iana", "ilka", "inde", "onia", "ulla"), ("amon", "ibert", "idor", "imar", "isco", "olan", "omir", "orin")
+# fixed values: letters of other scripts for those of the parts
+_CYRILLIC = str.maketrans(dict(zip("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопкрстуввхиз")))
+_GREEK = str.maketrans(dict(zip("abcdefghijklmnopqrstuvwxyz", "αβκδεφγηιικλμνοπκρστυβωξυζ")))
+# fixed values: titles and salutations that tell the gender of the given name after them
+_HE = r"(?:Mr\.?|Herrn?|Monsieur|M\.|Señor|Sr\.|Lieber|Cher|Estimado|Querido)"
+_SHE = r"(?:Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme\.?|Mlle\.?|Señora|Sra\.|Liebe|Chère|Estimada|Querida)"
+
+
+def script_of(text: str) -> str:
+    """Latin, Cyrillic or Greek, by the first letter that is of one of them."""
+    for c in text:
+        if "\u0400" <= c <= "\u052f":
+            return "Cyrillic"
+        if "\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff":
+            return "Greek"
+        if c.isalpha() and c < "\u0250":
+            return "Latin"
+    return "Latin"
+
+
+def _name(v: str) -> tuple[str, str]:
+    """(given, family) of a name in lower case: a full given name, or an initial with its dot; middle initials are left out."""
+    if "," in v:
+        family, given = (x.strip() for x in v.split(",", 1))
+        words = given.split()
+    else:
+        words = v.replace(".", ". ").split()
+        # the family name is the last word with the particles before it
+        at = len(words) - 1
+        while at > 1 and words[at - 1] in PARTICLES:
+            at -= 1
+        words, family = words[:at], " ".join(words[at:])
+    full = [w for w in words if not w.endswith(".")]
+    return " ".join(full) if full else words[0] if words else "", family
 
 
 def canonical(kind: str, found: str) -> str:
-    """What spellings of one entity have in common within a kind: case, spaces, separators and disguises don't count."""
+    """What spellings of one entity have in common within a kind: case, spaces, separators and disguises don't count. A name is given
+    name and family name, without middle initials; "i. family" is what an initial form says of it."""
     v = re.sub(r"[\s\x1f>|]+", " ", found).strip().lower()
     if kind == "email":
         v = re.sub(r"\s*[\[({<]at[\])}>]\s*|\s+at\s+|\s+arobase\s+|\s*[\[(]@[\])]\s*", "@", v)
         return re.sub(r"\s*[\[({]dot[\])}]\s*|\s+dot\s+|[\[(]\.[\])]|\s+(?:point|punkt|punto)\s+", ".", v)
     if kind in ("phone", "id_number"):
         return re.sub(r"[^0-9a-z+]", "", re.sub(r"\(0\)", "", v))
-    if kind == "name" and "," in v:
-        family, given = v.split(",", 1)
-        v = f"{given.strip()} {family.strip()}"
-    return v
+    return " ".join(_name(v)).strip() if kind == "name" else v
 
 
-def surrogate(kind: str, canon: str, secret: str, salt: int = 0) -> str:
-    """A keyed replacement of an entity, the same for all its spellings: a name, an address of ours, or digits and letters in the
-    same format; another salt gives another one."""
+def surrogate(kind: str, canon: str, secret: str, salt: int = 0, gender: str = "") -> str:
+    """A keyed replacement of an entity, the same for all its spellings: a name of its gender ("m", "f" or unknown) and script, an address of
+    ours, or digits and letters in the same format. Another salt gives another one; names, streets and numbers grow with it, so that there are
+    always more."""
     h = hashlib.blake2b(f"{salt}\x00{kind}\x00{canon}".encode(), key=secret.encode()[:64], digest_size=32).digest()
     n = int.from_bytes(h, "big")
 
-    def word() -> str:
+    def draw(of: Sequence[str]) -> str:
         nonlocal n
-        n, a = divmod(n, len(_STEMS))
-        n, b = divmod(n, len(_TAILS))
-        n, c = divmod(n, len(_TAILS))
-        return _STEMS[a] + _TAILS[b] + (_TAILS[c] if kind != "address" else "")
+        n, at = divmod(n, len(of))
+        return of[at]
+
+    def word(tails: int = 2) -> str:
+        return draw(_STEMS) + "".join(draw(_TAILS) for _ in range(tails + min(salt // 4, 8)))
 
     if kind == "name":
-        return f"{word()} {word()}"
+        given = draw(_STEMS) + draw(_TAILS)[:2] + draw({"f": _FEMALE, "m": _MALE}.get(gender, _TAILS))
+        new = f"{given} {word()}"
+        letters = {"Cyrillic": _CYRILLIC, "Greek": _GREEK}.get(script_of(canon))
+        return new.lower().translate(letters).title() if letters else new
     if kind == "email":
         return f"{word()}.{word()}{n % 1000}@surrogate.example".lower()
     out = []
@@ -539,24 +659,33 @@ def surrogate(kind: str, canon: str, secret: str, salt: int = 0) -> str:
         else:
             out.append(chr(97 + (ord(c) - 97 + d + 1) % 26) if kind == "id_number" and "a" <= c <= "z" else c)
     if kind == "address":
-        return re.sub(r"[^\W\d_]{4,}", lambda m: m.group() if m.group() in _KEPT else word(), "".join(out), count=3)
-    return "".join(out)
+        return re.sub(r"[^\W\d_]{4,}", lambda m: m.group() if m.group() in _KEPT else word(1), "".join(out), count=3)
+    return "".join(out) + str(salt)[: salt // 32]
 
 
 _KEPT = frozenset("street road lane avenue court blvd close flat suite calle avda plaza avenue boulevard impasse straße strasse bajo".split())
 
 
+def mark_of(kind: str, value: str) -> str:
+    """What must differ between two entities: of a name the initial with the family name, since that is all that some spellings show."""
+    if kind != "name":
+        return value
+    given, family = value.split(" ", 1) if " " in value else ("", value)
+    return f"{given[:1]}. {family}".lower()
+
+
 def in_format(kind: str, found: str, new: str) -> str:
     """The surrogate in the spelling of the value it replaces: separators and letter case of numbers, order and case of names."""
     if kind in ("phone", "id_number"):
         chars = iter(new)
         kept = re.sub(r"\(0\)", "\x02", found)
-        out = "".join(next(chars, "0") if c.isalnum() or c == "+" else c for c in kept)
-        out = "".join(o.upper() if c.isupper() else o for c, o in zip(kept, out))
+        out = "".join(next(chars, "0") if c.isalnum() or c == "+" else c for c in kept) + "".join(chars)
+        out = "".join(o.upper() if c.isupper() else o for c, o in zip(kept, out)) + out[len(kept) :]
         return out.replace("\x02", "(0)")
     if kind == "name":
         given, family = new.split(" ", 1)
-        if re.match(r"[A-Z]\.", found):
+        # the only given name is an initial
+        if _name(re.sub(r"[\s\x1f>|]+", " ", found).strip().lower())[0].endswith("."):
             given = given[0] + "."
         new = f"{family}, {given}" if "," in found else f"{given} {family}"
     if found.isupper():
@@ -566,47 +695,98 @@ def in_format(kind: str, found: str, new: str) -> str:
     return new.title() if kind == "address" else new
 
 
-def surrogates(found: DataFrame, secret: str, max_rounds: int = 20) -> DataFrame:
-    """(kind, canon, surrogate) of every distinct entity of found(kind, canon), no two entities of a kind with one surrogate.
+def genders(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(given, gender) of the words that stand after titles and salutations of one gender at least twice as often as after those of the other."""
+    name = r"\s+([\p{Lu}][\p{L}'’-]+)"
+
+    def after(gender: str, title: str) -> Column:
+        found = F.regexp_extract_all(F.col(text), F.lit(rf"(?<![\p{{L}}.]){title}{name}"), F.lit(1))
+        return F.transform(found, lambda w: F.struct(F.lower(w).alias("given"), F.lit(gender).alias("g")))
+
+    said = [after("m", _HE), after("f", _SHE)]
+    each = documents.where(F.col(text).isNotNull()).select(F.explode(F.concat(*said)).alias("x")).groupBy("x.given").agg(F.sum((F.col("x.g") == "m").cast("int")).alias("m"), F.sum((F.col("x.g") == "f").cast("int")).alias("f"))
+    return each.select("given", F.when(F.col("m") >= 2 * F.col("f"), "m").when(F.col("f") >= 2 * F.col("m"), "f").alias("gender")).where("gender IS NOT NULL")
+
+
+def one_entity(spans: DataFrame, document: Sequence[str]) -> DataFrame:
+    """spans(*document, kind, canon, ...) with `entity`: canon, but of an initial form the one full name of that initial and family name in its
+    document, else in all documents; where there are several or none, the initial form is an entity of its own."""
+    is_initial = (F.col("kind") == "name") & F.col("canon").rlike(r"^\p{L}\. ")
+    given, family = F.substring_index("canon", " ", 1), F.expr("substring(canon, instr(canon, ' ') + 1)")
+    known = spans.where((F.col("kind") == "name") & ~is_initial & F.col("canon").contains(" "))
+    known = known.select(*document, F.substring(given, 1, 1).alias("_i"), _family(F.col("canon")).alias("_f"), "canon").distinct()
+
+    def single(of: Sequence[str], out: str) -> DataFrame:
+        return known.groupBy(*of, "_i", "_f").agg(F.min("canon").alias(out), F.max("canon").alias("_most")).where(F.col(out) == F.col("_most")).drop("_most")
+
+    rest = spans.where(~is_initial).withColumn("entity", F.col("canon"))
+    initial = spans.where(is_initial).withColumn("_i", F.substring(given, 1, 1)).withColumn("_f", family)
+    near = initial.join(single(document, "_near"), [*document, "_i", "_f"], "left").join(single([], "_far"), ["_i", "_f"], "left")
+    return rest.unionByName(near.withColumn("entity", F.coalesce("_near", "_far", "canon")).select(*rest.columns))
+
+
+def _family(canon: Column) -> Column:
+    """The family name of a full canonical name: its last word with the particles before it."""
+    return F.regexp_extract(canon, rf"((?:(?:{'|'.join(sorted(PARTICLES))}) )*[^ ]+)$", 1)
+
+
+def surrogates(found: DataFrame, secret: str) -> DataFrame:
+    """(kind, entity, surrogate) of every distinct entity of found(kind, entity[, gender]), no two entities of a kind with one surrogate, even
+    where only an initial of the given name is written.
 
     Entities that collide, with another or with a value that occurs, take the next salt until none is left; the first in order of a
-    colliding set keeps its surrogate.
+    colliding set keeps its surrogate. A NULL gender is an unknown one.
     """
-    make = F.udf(lambda k, c, s: surrogate(k, c, secret, s), T.StringType())
-    real = Stored(found.select("kind", "canon").distinct()).df
+    gender = F.max("gender") if "gender" in found.columns else F.lit("")
+    real = Stored(found.groupBy("kind", "entity").agg(F.coalesce(gender, F.lit("")).alias("gender"))).df
+
+    def marks(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"kind": pdf["kind"], "mark": [mark_of(k, e) for k, e in zip(pdf["kind"], pdf["entity"])]})
+
+    def draw(batches):
+        for pdf in batches:
+            drawn = [surrogate(k, e, secret, s, g) for k, e, s, g in zip(pdf["kind"], pdf["entity"], pdf["salt"], pdf["gender"])]
+            yield pdf.assign(surrogate=drawn, mark=[mark_of(k, x) for k, x in zip(pdf["kind"], drawn)])
+
+    state = "kind STRING, entity STRING, gender STRING, salt INT, surrogate STRING, mark STRING"
+    taken = Stored(real.mapInPandas(marks, "kind STRING, mark STRING").distinct().withColumn("occurs", F.lit(True))).df
     done, open_ = None, real.withColumn("salt", F.lit(0))
-    for _ in range(max_rounds):
-        drawn = open_.withColumn("surrogate", make("kind", "canon", "salt"))
-        both = drawn.withColumn("old", F.lit(1)) if done is None else drawn.withColumn("old", F.lit(1)).unionByName(done.withColumn("old", F.lit(0)))
-        first = both.groupBy("kind", "surrogate").agg(F.min(F.struct("old", "canon")).alias("w"))
-        taken = real.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("occurs"))
-        judged = both.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left")
-        good = (F.col("w.canon") == F.col("canon")) & F.col("occurs").isNull() | (F.col("old") == 0)
-        state = Stored(judged.select("kind", "canon", "salt", "surrogate", good.alias("good"))).df
-        done = state.where("good").drop("good")
-        open_ = state.where("NOT good").select("kind", "canon", (F.col("salt") + 1).alias("salt"))
+    while True:
+        drawn = open_.mapInPandas(draw, state).withColumn("old", F.lit(1))
+        both = Stored(drawn if done is None else drawn.unionByName(done.withColumn("old", F.lit(0)))).df
+        first = both.groupBy("kind", "mark").agg(F.min(F.struct("old", "entity")).alias("w"))
+        judged = both.join(first, ["kind", "mark"]).join(taken, ["kind", "mark"], "left")
+        good = (F.col("w.entity") == F.col("entity")) & F.col("occurs").isNull() | (F.col("old") == 0)
+        settled = Stored(judged.select("kind", "entity", "gender", "salt", "surrogate", "mark", good.alias("good"))).df
+        done = settled.where("good").drop("good")
+        open_ = settled.where("NOT good").select("kind", "entity", "gender", (F.col("salt") + 1).alias("salt"))
         if open_.isEmpty():
-            return done.drop("salt")
-    raise RuntimeError("surrogates still collide; use a longer format or another secret")
+            return done.select("kind", "entity", "surrogate")
 
 
 def pseudonymise(documents: DataFrame, name_parts: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text) with every personal value replaced by its surrogate: same entity, same surrogate, in all texts. Texts without values
-    and NULL texts come back as they are. Rows must have distinct non-NULL keys."""
-    canon = F.udf(canonical, T.StringType())
-    found = Stored(entities(documents, name_parts, key, text)).df
-    spans = Stored(found.select(F.col(key).alias("_k"), F.explode("entities").alias("x")).select("_k", "x.*").withColumn("canon", canon("kind", "found_text"))).df
-    mapped = Stored(surrogates(spans, secret)).df
-    placed = spans.join(mapped, ["kind", "canon"]).groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("spans"))
-
-    def rewrite(t, spans):
-        if not t or spans is None:
-            return t
-        out, at = [], 0
-        for s in spans:
-            out += [t[at : s["start"]], in_format(s["kind"], t[s["start"] : s["end"]], s["surrogate"])]
-            at = s["end"]
-        return "".join([*out, t[at:]])
-
-    joined = documents.select(key, text).join(placed, F.col(key) == F.col("_k"), "left")
-    return joined.select(key, F.udf(rewrite, T.StringType())(F.col(text), F.col("spans")).alias(text))
+    """(key, text) with every personal value replaced by its surrogate: same entity, same surrogate, in all texts; names keep their gender, as far
+    as titles in the texts tell it, and script. Texts without values and NULL texts come back as they are, repeated rows and NULL keys too."""
+    found = Stored(entities(documents, name_parts, key, text, with_canon=True)).df
+    document = ["_k", "_hash"]
+    spans = found.select(F.col(key).alias("_k"), F.col("text_hash").alias("_hash"), F.explode("entities").alias("x")).select(*document, "x.*").distinct()
+    named = Stored(one_entity(spans, document).withColumn("given", F.when(F.col("kind") == "name", F.substring_index("entity", " ", 1)))).df
+    of = named.select("kind", "entity", "given").distinct().join(genders(documents, text), "given", "left")
+    mapped = surrogates(of, secret)
+    put = F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("_spans")
+    placed = named.join(mapped, ["kind", "entity"]).groupBy(*document).agg(put).withColumnRenamed("_hash", "_h")
+
+    def rewrite(batches):
+        for batch in batches:
+            out = []
+            for t, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
+                parts, at = [], 0
+                for s in spans or ():
+                    parts += [t[at : s["start"]], in_format(s["kind"], t[s["start"] : s["end"]], s["surrogate"])]
+                    at = s["end"]
+                out.append("".join([*parts, t[at:]]) if spans else t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, text])
+
+    joined = documents.select(F.col(key), F.col(text).alias("_text")).join(placed, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64("_text") == F.col("_h")), "left")
+    return joined.select(key, "_text", "_spans").mapInArrow(rewrite, T.StructType([documents.schema[key], T.StructField(text, T.StringType())]))

@@ -9,6 +9,8 @@ pair that isn't, and only those are merged step by step. Everything happens on A
 from __future__ import annotations
 
 import base64
+import functools
+import heapq
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -23,6 +25,8 @@ from pyspark.sql import types as T
 DEFAULT_VOCABULARY = os.environ.get("CELLWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Bytes of text that are encoded at a time.
 CHUNK = 1 << 21
+#: Bytes of a word from which it is merged alone.
+LONG = 256
 SPACE, LETTER, NUMBER, OTHER, BORDER = 0, 1, 2, 3, 4
 #: Characters of the White_Space property.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -242,6 +246,10 @@ class Encoder:
             own, starts = sizes[at:upper], s[at:upper]
             at = upper
             w = int(own[-1])
+            if w > LONG:
+                for i, n in zip(starts, own):
+                    tokens[i : i + n] = self._merged_word(b[i : i + n])
+                continue
             inside = np.arange(w) < own[:, None]
             flat = starts[:, None] + np.arange(w)
             raw = np.where(inside, b[np.minimum(flat, len(b) - 1)], 0).astype(np.uint8)
@@ -253,6 +261,33 @@ class Encoder:
             ok = found >= 0
             tokens[flat[ok]] = found[ok]
 
+    def _merged_word(self, raw: np.ndarray) -> np.ndarray:
+        """One long word to its tokens at the places of their first bytes, -1 elsewhere, with a heap of the pairs that can merge."""
+        n = len(raw)
+        pairs = self.pairs
+        ids = self.v.byte_token[raw].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(t, i) for i in range(n - 1) if (t := pairs.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            t, i = heapq.heappop(heap)
+            j = after[i]
+            # a pair of which either side has merged since is no longer there
+            if ids[i] < 0 or j >= n or pairs.get((ids[i], ids[j])) != t:
+                continue
+            ids[i], ids[j], after[i] = t, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if (u := pairs.get((t, ids[after[j]]))) is not None:
+                    heapq.heappush(heap, (u, i))
+            if before[i] >= 0 and (u := pairs.get((ids[before[i]], t))) is not None:
+                heapq.heappush(heap, (u, before[i]))
+        return np.array(ids, np.int32)
+
+    @functools.cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        return {(a, b): t for a, b, t in zip((self.pair_keys // self.v.size).tolist(), (self.pair_keys % self.v.size).tolist(), self.pair_tokens.tolist())}
+
     def _merged(self, raw: np.ndarray) -> np.ndarray:
         """Words as rows of bytes, padded with 255, to rows with each token at the place of its first byte and -1 elsewhere."""
         n, w = raw.shape
@@ -335,8 +370,8 @@ def _shared(df: DataFrame, vocabulary: str):
 
 def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(key, ids): each text as its list of token ids, without special tokens; strings that look like special tokens are ordinary
-    text. NULL and empty texts give an empty list. Repeated rows are kept. The vocabulary's size is fixed by its file, and is shared with
-    the tasks as arrays of about 3 MB."""
+    text. NULL and empty texts give an empty list. Repeated rows are kept. The vocabulary's size is fixed by its file: it is shared with
+    the tasks as arrays of about 3 MB, of which each worker makes a table of some 100 MB."""
     shared = _shared(df, vocabulary)
 
     def run(batches):

@@ -264,18 +264,19 @@ def test_found_redacted_and_replaced(spark):
     assert len(found) == len(set(found)) == 15 + 2
     redacted = {x["doc_id"]: x["redacted"] for x in pii.entities(docs, names, with_text=True).collect()}
     assert redacted[2] is None and redacted[3] == "" and redacted[4] == "mail [EMAIL] or [EMAIL]"
-    once = docs.dropDuplicates(["doc_id"])
-    new = {x["doc_id"]: x["text"] for x in pii.pseudonymise(once, names, "secret").collect()}
-    assert new == {x["doc_id"]: x["text"] for x in pii.pseudonymise(once, names, "secret").collect()}
+    both = [(x["doc_id"], x["text"]) for x in pii.pseudonymise(docs, names, "secret").collect()]
+    new = dict(both)
+    assert len(both) == 5 and len(set(both)) == 4
     assert new[4].split()[1].lower() == new[4].split()[3].lower() != "jaska@core.example"
     assert "Order no. 792 361 9491" in new[1] and "Lathomire" not in new[1] and "955-22-6855" not in new[1]
     assert pii.found_values(docs.limit(0), names.limit(0)).count() == 0
 
 
 def test_surrogates_are_distinct(spark):
-    rows = [("phone", f"0{i:03d}") for i in range(200)] + [("name", f"n {i}") for i in range(200)]
-    out = pii.surrogates(spark.createDataFrame(rows, "kind STRING, canon STRING"), "secret").collect()
-    assert len(out) == 400 and len({(x["kind"], x["surrogate"]) for x in out}) == 400
+    rows = [("phone", f"0{i:03d}") for i in range(200)] + [("name", f"n {i}") for i in range(200)] + [("id_number", str(i)) for i in range(8)]
+    out = pii.surrogates(spark.createDataFrame(rows, "kind STRING, entity STRING"), "secret").collect()
+    assert len(out) == 408 and len({(x["kind"], x["surrogate"]) for x in out}) == 408
+    assert len({pii.in_format("name", "N. X", x["surrogate"]) for x in out if x["kind"] == "name"}) == 200
     assert not {(x["kind"], x["surrogate"]) for x in out} & set(rows)
 
 
@@ -312,3 +313,39 @@ def test_long_lists_of_addresses():
     assert len(pii.detect("To: a@core.example," + lines, LEX)) == 5001
     assert len(pii.detect("\n".join(f"<{p}>" for p in people), LEX)) == 5000
     assert pii.detect("References: <1@core.example>" + lines.replace(",", ""), LEX) == []
+
+
+def test_values_of_any_length():
+    local = "a" * 90 + ".b" * 400
+    text = f"to {local}@core.example, {local} (at) core (dot) example\n" + "passport number" + " of our guest" * 40 + ": X4756294, X4756295 and X4756296; order 12345678\nREISEPASS X1234567\n"
+    got = [text[a:b] for a, b, _ in pii.detect(text, LEX)]
+    assert got == [f"{local}@core.example", f"{local} (at) core (dot) example", "X4756294", "X4756295", "X4756296", "X1234567"]
+
+
+def test_names_beyond_the_shared_lexicon_are_found_too(spark):
+    people = [(g, f) for g in ("Anna", "Bert", "Clara-Marie", "Dora") for f in ("Aldous", "Van der Brill", "Cress-Holm")] + [("Zora", "Quill")]
+    texts = [f"From: {g} {f} <{g[0].lower()}.{f.split()[-1].lower()}@core.example>\n{f}, {g} met\n{g.upper()} {f.upper()} and Dora Aldous" for g, f in people]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    names = spark.createDataFrame([], NAMES)
+    whole, cut = ({(x["doc_id"], tuple(tuple(e) for e in x["entities"])) for x in pii.entities(docs, names, shared=n).collect()} for n in (1000, 1))
+    assert whole == cut and sum(e[0] == "name" for _, x in whole for e in x) >= 45
+
+
+def test_surrogates_keep_gender_script_format_and_person(spark):
+    texts = [
+        "Mr Jaska Lathomire and Frau Ilse Lathomire wrote. I. Lathomire, Lathomire, Ilse and ILSE M. LATHOMIRE too; Lathomire, I. as well",
+        "Dear Mr Jaska Lathomire, I. Lathomire is away, call +44 20 7946 0496",
+        "K. Smeed and Katrin Smeed and Karl Smeed, then K. Smeed",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    names = spark.createDataFrame([("Jaska", "given"), ("Ilse", "given"), ("Katrin", "given"), ("Karl", "given"), ("Lathomire", "family"), ("Smeed", "family")], NAMES)
+    new = {x["doc_id"]: x["text"] for x in pii.pseudonymise(docs, names, "secret").collect()}
+    assert not any(w in t for t in new.values() for w in ("Lathomire", "Ilse", "Jaska", "Smeed", "7946"))
+    he, she = new[0].split()[1:3], new[0].split()[5:7]
+    assert he[0].endswith(pii._MALE) and she[0].endswith(pii._FEMALE) and he[1] != she[1]
+    initial = she[0][0] + "."
+    assert new[0].endswith(f"wrote. {initial} {she[1]}, {she[1]}, {she[0]} and {she[0].upper()} {she[1].upper()} too; {she[1]}, {initial} as well")
+    assert new[1].startswith(f"Dear Mr {he[0]} {he[1]}, {initial} {she[1]} is away, call +44 ") and len(new[1].split("call ")[1]) == len("+44 20 7946 0496")
+    k = new[2].replace(",", "").split(" and ")
+    assert len({k[0].split()[1], k[1].split()[1], k[2].split()[1]}) == 3 and new[2].endswith(f"then {k[0]}")
+    assert pii.script_of(pii.surrogate("name", "иван петров", "s")) == "Cyrillic" and pii.script_of(pii.surrogate("name", "νίκος παππάς", "s")) == "Greek"

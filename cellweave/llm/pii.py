@@ -30,15 +30,15 @@ SHARED_LEXICON = 100_000
 
 # fixed values: words of display names that are no person's
 ROLE_WORDS = frozenset(
-    "admin administrator alerts announce billing bot build cron daemon desk digest disk facility group help helpdesk info lab list lists mailer mailman "
-    "monitor news no-reply noreply office ops orders postmaster project root sales security service server staff support system team trench users webmaster".split()
+    "admin administrator alerts announce billing bot build cron daemon desk digest facility group help helpdesk info lab list lists mailer mailman "
+    "monitor news no-reply noreply office ops orders postmaster project root sales security service server staff support system team users webmaster".split()
 )
 # fixed values: capitalised words that follow or precede a given name without being a family name
 NOT_FAMILY = frozenset(
-    "a about all also am an and analysis any are as at avenue ave best besten bis blvd bonjour both bridge but by camera can cc cell cheers close cordialement "
-    "could court date dear der die dr el en facility fax fon for friday from fwd group hall hallo have he hello hi hola i if ihr il image in institut instruments is it "
-    "lab laboratorio lane le les liebe lieber m mail many may message mit mobil monday mr mrs ms my next no nobody node not of on optics or original our phone "
-    "please postdoc prof rd re regards road room sent sie so st stage street subject sunday saturday tel thanks that the they this thursday to trench "
+    "a about all also am an and analysis any are as at avenue ave best besten bis blvd bonjour both but by can cc cheers close cordialement "
+    "could court date dear der die dr el en fax fon for friday from fwd group hall hallo have he hello hi hola i if ihr il in institut is it "
+    "lab lane le les liebe lieber m mail many may message mit mobil monday mr mrs ms my next no nobody not of on or original our phone "
+    "please prof rd re regards road room sent sie so st street subject sunday saturday tel thanks that the they this thursday to "
     "tuesday una und unit until viele von vous was we wednesday what when who why will wir wiss with you your zentrum".split()
 )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -196,8 +197,9 @@ def metrics(tracks: DataFrame, manifest_intervals: DataFrame, names: Sequence[st
     return rows.groupBy(*KEY).agg(*[c for n in names for c in _METRICS[n](F.col("frame_interval_min"), length)])
 
 
-def length_flags(tracks: DataFrame, divisions: DataFrame, tau: float = 0.3) -> DataFrame:
-    """Drops of tau or more within a track from one frame to the next, and divisions whose larger daughter dropped by less."""
+def length_flags(tracks: DataFrame, divisions: DataFrame, tau: float = 0.3, at_open_end: DataFrame | None = None) -> DataFrame:
+    """Drops of tau or more within a track from one frame to the next, and divisions whose larger daughter dropped by less. at_open_end(dataset_id, t,
+    label): cells that touch the open end; flags that compare such a cell are left out, since a cell that leaves shrinks."""
     own = Window.partitionBy(*KEY).orderBy("t", "label")
     nxt = F.lead(F.struct("t", "label", "axis_len")).over(own)
     drop = 1 - F.col("n.axis_len") / F.col("axis_len")
@@ -219,7 +221,38 @@ def length_flags(tracks: DataFrame, divisions: DataFrame, tau: float = 0.3) -> D
         "dataset_id", F.lit("division_without_drop").alias("kind"), F.col("t_div").alias("t"), born.alias("t_next"), F.col("mother_track_id").alias("src_track_id"), F.col("m.label").alias("src_label"),
         "d1_track_id", F.col("d1.label"), "d2_track_id", F.col("d2.label"), F.col("m.axis_len"), "length_after", "drop_frac",
     )
-    return within.union(across)
+    flags = within.union(across)
+    if at_open_end is None:
+        return flags
+    cells = F.array(*[F.struct(F.col(t).cast("int").alias("t"), F.col(c).alias("label")) for t, c in (("t", "src_label"), ("t_next", "dst1_label"), ("t_next", "dst2_label"))])
+    numbered = Stored(flags.withColumn("_id", F.monotonically_increasing_id())).df
+    seen = numbered.select("dataset_id", "_id", F.explode(cells).alias("x")).select("dataset_id", "_id", "x.*")
+    out = seen.join(at_open_end.select("dataset_id", "t", "label").distinct(), ["dataset_id", "t", "label"]).select("_id").distinct()
+    return numbered.join(out, "_id", "left_anti").drop("_id")
+
+
+def cell_properties(runs: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
+    """Fitted shape of every cell from the sums of its runs (`tracking.mask_runs`): major and minor axis of the ellipse with the same second moments,
+    orientation (radians from the rows' axis), eccentricity, centroid, area; with tracks(dataset_id, track_id, t, label, axis_len) only cells of
+    tracks, with track_id and bbox_len. Pixels are unit squares, as the 1/12 in their moments says."""
+    n = F.col("last") - F.col("first") + 1
+    # sums over a run's columns in closed form
+    c1 = (F.col("first") + F.col("last")) * n / 2
+    c2 = (F.col("last") * (F.col("last") + 1) * (2 * F.col("last") + 1) - (F.col("first") - 1) * F.col("first") * (2 * F.col("first") - 1)) / 6
+    r = F.col("row").cast("double")
+    g = runs.groupBy("dataset_id", "t", "label").agg(F.sum(n).alias("area"), F.sum(r * n).alias("r"), F.sum(c1).alias("c"), F.sum(r * r * n).alias("rr"), F.sum(c2).alias("cc"), F.sum(r * c1).alias("rc"))
+    mr, mc = F.col("r") / F.col("area"), F.col("c") / F.col("area")
+    vr, vc = F.col("rr") / F.col("area") - mr * mr + 1 / 12, F.col("cc") / F.col("area") - mc * mc + 1 / 12
+    cov = F.col("rc") / F.col("area") - mr * mc
+    half, root = (vr + vc) / 2, F.sqrt((vr - vc) * (vr - vc) / 4 + cov * cov)
+    major, minor = 4 * F.sqrt(half + root), 4 * F.sqrt(F.greatest(half - root, F.lit(0.0)))
+    even = F.abs(vr - vc) < 1e-12
+    angle = F.when(even, F.when(cov < 0, -math.pi / 4).otherwise(math.pi / 4)).otherwise(0.5 * F.atan2(2 * cov, vr - vc))
+    eccentricity = F.when(half + root > 0, F.sqrt(F.greatest(1 - (half - root) / (half + root), F.lit(0.0)))).otherwise(0.0)
+    out = g.select("dataset_id", "t", "label", major.alias("major_axis_length_px"), minor.alias("minor_axis_length_px"), angle.alias("orientation"), eccentricity.alias("eccentricity"), mr.alias("y"), mc.alias("x"), F.col("area").cast("double").alias("area"))
+    if tracks is None:
+        return out
+    return tracks.select("dataset_id", "track_id", "t", "label", F.col("axis_len").alias("bbox_len")).join(out, ["dataset_id", "t", "label"])
 
 
 def swimlanes(cycle_table: DataFrame) -> DataFrame:

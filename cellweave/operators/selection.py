@@ -194,20 +194,30 @@ def decide(diagnostics: DataFrame, selections: DataFrame, anomalies: DataFrame |
 def decision_errors(decisions: DataFrame) -> DataFrame:
     """Decisions that contradict themselves, with what is wrong."""
     kept, dropped = F.col("action") == "KEEP", F.col("action") == "DROP"
+    of = lambda c: F.col(c) if c in decisions.columns else F.lit(None)
+    primary, start, end = F.coalesce(of("bridge_is_primary").cast("boolean"), F.lit(False)), of("bridge_t_a").cast("int"), of("bridge_t_b").cast("int")
+    bridge, ops_, score = F.col("action") == "BRIDGE", of("bridge_ops_json").cast("string"), of("bridge_score").cast("double")
     wrong = (
         F.when(~F.coalesce(F.col("action").isin("KEEP", "DROP", "BRIDGE"), F.lit(False)), "unknown action")
+        .when(kept & F.col("chosen_idx").isNull(), "kept without a candidate")
         .when(kept & F.col("drop_reason").isNotNull(), "kept with a reason to drop")
+        .when(kept & (ops_.isNotNull() | primary), "kept with a bridge")
+        .when(dropped & primary, "dropped as the start of a bridge")
+        .when(bridge & (start.isNull() | end.isNull()), "bridge without a span")
+        .when(bridge & (end <= start), "bridge that ends before it begins")
+        .when(bridge & primary & (ops_.isNull() | finite(score).isNull()), "start of a bridge without operations or score")
+        .when(bridge & ~primary & ops_.isNotNull(), "operations inside of a bridge")
         .when(dropped & F.col("drop_reason").isNull(), "dropped without a reason")
         .when(dropped & F.col("chosen_ops_json").isNotNull(), "dropped with operations")
     )
     return decisions.withColumn("error", wrong).where("error IS NOT NULL")
 
 
-def rule_flags(c: DataFrame) -> DataFrame:
-    """c plus the rules' verdicts; a rule on a missing value says no."""
+def rule_flags(c: DataFrame, ratio_column: str = "total_area_ratio_exit_adjusted", cost_column: str = "dp_cost") -> DataFrame:
+    """c plus the rules' verdicts; a rule on a missing value says no. The area ratio may be named mass_ratio, the cost norm_cost."""
     shrink = F.coalesce(F.col("max_shrink_pct") <= 10, F.lit(False))
-    ratio = F.coalesce(F.col("total_area_ratio_exit_adjusted").between(0.9, 1.2), F.lit(False))
-    cost = F.coalesce(F.col("dp_cost") <= 10, F.lit(False))
+    ratio = F.coalesce(F.col(ratio_column).between(0.9, 1.2), F.lit(False))
+    cost = F.coalesce(F.col(cost_column) <= 10, F.lit(False))
     out = c.withColumn("rule_plausible_shrink", shrink).withColumn("rule_plausible_area_ratio", ratio).withColumn("rule_plausible_cost", cost)
     every = shrink & ratio & cost
     return out.withColumn("rule_plausible_any", shrink | ratio | cost).withColumn("rule_plausible_all", every).withColumn("rule_based_probability", every.cast("double"))

@@ -24,6 +24,8 @@ from cellweave.session import Stored, small_side
 BLOCK, MARGIN = 512, 128
 #: Values that one batch of blocks holds, about.
 BATCH = 64_000
+#: Neighbouring blocks that go into one batch, so that what they tell of their series is added up there.
+TOGETHER = 32
 #: Standardised innovation from which a reading is far off.
 THRESHOLD = 6.0
 #: Bounds of the share of the innovation that a settled filter takes up.
@@ -224,7 +226,7 @@ def _in_blocks(rows: DataFrame, block: int, margin: int, batches: int) -> DataFr
     else:
         near = F.sequence(F.greatest(F.floor((F.col("pos") - margin) / block), F.lit(0)), F.floor((F.col("pos") + margin) / block))
     spread = rows.withColumn("block", F.explode(near)).withColumn("own", F.col("block") == home)
-    return spread.withColumn("batch", F.pmod(F.xxhash64("sid", "block"), F.lit(batches)))
+    return spread.withColumn("batch", F.pmod(F.xxhash64("sid", F.floor(F.col("block") / TOGETHER)), F.lit(batches)))
 
 
 def _variances(facts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import ops
-from cellweave.functions.costs import EPS, TrackerParams, divide_cost, link_cost
+from cellweave.functions.costs import EPS, TrackerParams, divide_cost, exits_cost, link_cost
 from cellweave.operators.positions import with_positions
 from cellweave.session import Stored
 
@@ -165,11 +166,16 @@ def count_candidates(n: int, m: int) -> int:
 def enumerate_candidates(pairs: DataFrame, ceiling: int = 100_000) -> DataFrame:
     """(pair_id, steps) of every sequence, by growing all of them a source at a time. Pairs of more than `ceiling` sequences raise."""
     sized = pairs.select("pair_id", F.size("a").alias("n"), F.size("b").alias("m"))
-    shapes = sized.groupBy("n", "m").count().limit(100_000).collect()
-    if any(count_candidates(r["n"], r["m"]) > ceiling for r in shapes):
+
+    def check(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": pdf["n"], "over": [count_candidates(n, m) > ceiling for n, m in zip(pdf["n"], pdf["m"])]})
+
+    most, over = sized.select("n", "m").distinct().mapInPandas(check, "n INT, over BOOLEAN").agg(F.max("n"), F.bool_or("over")).first()
+    if over:
         raise ValueError(f"a pair has more than {ceiling} candidates")
     grown = sized.select("pair_id", "n", "m", F.lit("").alias("steps"), F.lit(0).alias("j"))
-    for i in range(max([r["n"] for r in shapes], default=0)):
+    for i in range(most or 0):
         more = F.explode(F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w")) for s, w in (("e", 0), ("l", 1), ("d", 2))]), lambda x: ((x["s"] != "e") | F.col("steps").rlike("^e*$")) & (F.col("j") + x["w"] <= F.col("m"))))
         on = grown.where(F.col("n") > i).select("pair_id", "n", "m", "steps", "j", more.alias("x"))
         done = grown.where(F.col("n") <= i)
@@ -343,3 +349,127 @@ def bridge_spans(decisions: DataFrame, spans: DataFrame, tau: float, max_gap: in
     hit = near.join(s, ["dataset_id", "t_a"]).where((F.col("t_a") <= F.col("t_drop")) & (F.col("t_drop") < F.col("t_b")) & (F.col("score") >= tau))
     best = hit.groupBy("dataset_id", "t_drop").agg(F.min(F.struct((F.col("t_b") - F.col("t_a")).alias("gap"), (-F.col("score")).alias("s"), "t_a", "t_b")).alias("x"))
     return best.select("dataset_id", "t_drop", "x.t_a", "x.t_b", (-F.col("x.s")).alias("score"))
+
+
+def _considered(drops: DataFrame, max_gap: int) -> DataFrame:
+    """Those of drops(dataset_id, t_drop, t_b) that are come to when drops are taken in order and one below the end of the span of an earlier one is
+    passed over. Each drop points to the one that would be next; drops too far from the one before to be passed over are where chains begin, and
+    the drops on chains are found by doubling."""
+    placed = Stored(with_positions(drops, ["dataset_id"], [F.col("t_drop")], "pos")).df
+    # a span ends less than max_gap after its drop, so equal keys do
+    over = placed.where("t_b > t_drop + 1").select("dataset_id", "pos", F.explode(F.sequence(F.col("t_drop") + 1, F.col("t_b") - 1)).alias("t_drop"))
+    passed = over.join(placed.select("dataset_id", "t_drop"), ["dataset_id", "t_drop"]).groupBy("dataset_id", "pos").agg(F.count("*").alias("_n"))
+    before = placed.select("dataset_id", (F.col("pos") + 1).alias("pos"), F.col("t_drop").alias("_t"))
+    heads = placed.join(before, ["dataset_id", "pos"], "left").where(F.col("_t").isNull() | (F.col("t_drop") - F.col("_t") >= max_gap))
+    jump = Stored(placed.join(passed, ["dataset_id", "pos"], "left").select("dataset_id", "pos", (F.col("pos") + 1 + F.coalesce("_n", F.lit(0))).alias("to")))
+    found = Stored(heads.select("dataset_id", "pos"))
+    size = -1
+    while (now := found.df.count()) != size:
+        size = now
+        more = found.df.join(jump.df, ["dataset_id", "pos"]).select("dataset_id", F.col("to").alias("pos")).join(placed.select("dataset_id", "pos"), ["dataset_id", "pos"], "left_semi")
+        found = Stored(found.df.union(more).distinct())
+        jump = Stored(jump.df.join(jump.df.select("dataset_id", F.col("pos").alias("to"), F.col("to").alias("_to")), ["dataset_id", "to"]).select("dataset_id", "pos", F.col("_to").alias("to")))
+    return placed.join(found.df, ["dataset_id", "pos"], "left_semi").drop("pos")
+
+
+def bridge_drops(decisions: DataFrame, spans: DataFrame, tau: float, max_gap: int, reasons: Sequence[str] = ("ANOMALY",)) -> DataFrame:
+    """Decisions with their drops bridged where a span reaches tau: pairs under a span become BRIDGE, the one at its start primary with the span's
+    operations; other drops of these reasons become BRIDGE_FAILED, the rest stays.
+
+    decisions: (dataset_id, t, action, drop_reason, ...), one for each frame; spans: (dataset_id, t_a, t_b, score, ops_json). Drops are taken in
+    order of time, those under an earlier drop's span are passed over; of a drop's spans the shortest that reach tau count, of these the best,
+    of equals the earliest. Of two accepted spans over a pair the first counts, of two from one frame the later.
+    """
+    eligible = (F.col("action") == "DROP") & F.coalesce(F.col("drop_reason").isin(*reasons), F.lit(False))
+    d = Stored(decisions.drop("bridge_t_a", "bridge_t_b", "bridge_score", "bridge_ops_json", "bridge_is_primary")).df
+    drops = d.where(eligible).select("dataset_id", F.col("t").alias("t_drop")).dropna().distinct()
+    best = Stored(bridge_spans(drops.select("dataset_id", F.col("t_drop").alias("t"), F.lit("DROP").alias("action"), F.lit("ANOMALY").alias("drop_reason")), spans, tau, max_gap)).df
+    taken = _considered(drops.join(best, ["dataset_id", "t_drop"], "left"), max_gap).where("t_b IS NOT NULL")
+    ops_of = spans.groupBy("dataset_id", "t_a", "t_b", "score").agg(F.min("ops_json").alias("ops_json"))
+    taken = taken.join(ops_of, ["dataset_id", "t_a", "t_b", "score"])
+    accepted = taken.groupBy("dataset_id", "t_a").agg(F.min("t_drop").alias("first"), F.max_by(F.struct("t_b", "score", "ops_json"), "t_drop").alias("s"))
+    under = accepted.select("dataset_id", F.explode(F.sequence(F.col("t_a"), F.col("s.t_b") - 1)).alias("t"), F.struct("first", "t_a", "s").alias("x"))
+    over = under.groupBy("dataset_id", "t").agg(F.min("x").alias("_x"))
+    j = d.join(over, ["dataset_id", "t"], "left")
+    x, bridged = F.col("_x"), F.col("_x").isNotNull()
+    primary = F.coalesce(bridged & (F.col("t") == x["t_a"]), F.lit(False))
+    reason = F.when(bridged, None).when(eligible, "BRIDGE_FAILED").otherwise(F.col("drop_reason"))
+    changed = {"action": F.when(bridged, "BRIDGE").otherwise(F.col("action")), "drop_reason": reason}
+    kept = [changed[c].alias(c) if c in changed else F.col(c) for c in d.columns]
+    return j.select(*kept, x["t_a"].alias("bridge_t_a"), x["s"]["t_b"].alias("bridge_t_b"), x["s"]["score"].alias("bridge_score"), F.when(primary, x["s"]["ops_json"]).alias("bridge_ops_json"), primary.alias("bridge_is_primary"))
+
+
+def decided_operations(decisions: DataFrame) -> DataFrame:
+    """(dataset_id, t, dst_t, ops) for `reconstruct`, from decisions with or without bridges: what was chosen of kept pairs, and a bridge's operations at
+    its start, which lead to its end. Drops, and pairs inside of a bridge, have none, so lineages break at the former and pass the latter."""
+    if "bridge_t_b" not in decisions.columns:
+        none = F.lit(None)
+        decisions = decisions.withColumns({"bridge_t_b": none.cast("int"), "bridge_ops_json": none.cast("string"), "bridge_is_primary": F.lit(False)})
+    kept = F.col("action") == "KEEP"
+    primary = (F.col("action") == "BRIDGE") & F.col("bridge_is_primary")
+    rows = decisions.where(kept | primary).withColumn("_ops", F.when(kept, F.col("chosen_ops_json")).otherwise(F.col("bridge_ops_json")))
+    return rows.where("_ops IS NOT NULL").select("dataset_id", "t", F.when(kept, F.col("t") + 1).otherwise(F.col("bridge_t_b")).cast("int").alias("dst_t"), ops.parse("_ops").alias("ops"))
+
+
+def sequence_costs(candidates: DataFrame, cells: DataFrame, params: TrackerParams) -> DataFrame:
+    """candidates(dataset_id, t, pair_id, sample_rank, ops) to (pair_id, sample_rank, cost): the exact cost of each whole sequence, exits included; NULL where
+    a cell is missing. cells: (dataset_id, t, label, <axis>, area)."""
+    key = ["dataset_id", "t", "pair_id", "sample_rank"]
+    o = candidates.select(*key, F.explode("ops").alias("o")).select(*key, "o.*")
+
+    def side(name: str, shift: int) -> DataFrame:
+        return cells.select("dataset_id", (F.col("t") - shift).alias("t"), F.col("label").alias(name), F.struct(F.col(params.axis).alias("p"), "area").alias(f"_{name}"))
+
+    j = o.join(side("src", 0), ["dataset_id", "t", "src"], "left").join(side("dst1", 1), ["dataset_id", "t", "dst1"], "left").join(side("dst2", 1), ["dataset_id", "t", "dst2"], "left")
+    s, a, b = F.col("_src"), F.col("_dst1"), F.col("_dst2")
+    link, divide = link_cost(params, s["p"] - a["p"], s["area"], a["area"]), divide_cost(params, s["p"] - a["p"], s["p"] - b["p"], s["area"], a["area"], b["area"])
+    cost = F.when(F.col("kind") == "link", link).when(F.col("kind") == "divide", divide).when(F.col("kind") == "exit", 0.0)
+    g = j.groupBy(*key).agg(F.sum(cost).alias("c"), F.count_if(cost.isNull()).alias("lost"), F.count_if(F.col("kind") == "exit").alias("exits"))
+    return g.select("pair_id", "sample_rank", F.when(F.col("lost") == 0, F.col("c") + exits_cost(params, F.col("exits"))).alias("cost"))
+
+
+def mask_runs(frames: DataFrame) -> DataFrame:
+    """frames(dataset_id, t, height, width, pixels) to the runs of each label: (dataset_id, t, label, row, first, last), columns first to last."""
+
+    def run(batches):
+        for pdf in batches:
+            for d, t, h, w, raw in zip(pdf["dataset_id"], pdf["t"], pdf["height"], pdf["width"], pdf["pixels"]):
+                image = np.frombuffer(raw, "<u4").reshape(h, w).astype(np.int64)
+                edge = np.ones((h, w + 1), bool)
+                edge[:, 1:w] = image[:, 1:] != image[:, :-1]
+                r, c = np.nonzero(edge)
+                # edges come in pairs of neighbours within a row
+                inside = c < w
+                start, end = np.flatnonzero(inside), np.flatnonzero(inside) + 1
+                label = image[r[start], c[start]]
+                keep = label > 0
+                yield pd.DataFrame({"dataset_id": d, "t": t, "label": label[keep], "row": r[start][keep], "first": c[start][keep], "last": c[end][keep] - 1})
+
+    return frames.mapInPandas(run, "dataset_id STRING, t INT, label INT, row INT, first INT, last INT")
+
+
+def shifted_overlaps(links: DataFrame, runs: DataFrame, heights: DataFrame) -> DataFrame:
+    """links(dataset_id, t, src, k, dst, shift) plus iou of src's mask at t with dst's mask at k, moved down by `shift` rows and cut at the frame's ends.
+    runs: as `mask_runs` gives them; heights: (dataset_id, height)."""
+    key = ["dataset_id", "t", "src", "k", "dst", "shift"]
+    one = links.select(*key).distinct()
+    a = one.join(runs.select("dataset_id", "t", F.col("label").alias("src"), "row", F.col("first").alias("a1"), F.col("last").alias("a2")), ["dataset_id", "t", "src"])
+    b = one.join(runs.select("dataset_id", F.col("t").alias("k"), F.col("label").alias("dst"), F.col("row").alias("_row"), F.col("first").alias("b1"), F.col("last").alias("b2")), ["dataset_id", "k", "dst"])
+    b = b.withColumn("row", F.col("_row") + F.col("shift")).join(heights.select("dataset_id", "height"), "dataset_id").where("row >= 0 AND row < height")
+    na = a.groupBy(*key).agg(F.sum(F.col("a2") - F.col("a1") + 1).alias("na"))
+    nb = b.groupBy(*key).agg(F.sum(F.col("b2") - F.col("b1") + 1).alias("nb"))
+    both = a.join(b.select(*key, "row", "b1", "b2"), [*key, "row"]).groupBy(*key).agg(F.sum(F.greatest(F.least("a2", "b2") - F.greatest("a1", "b1") + 1, F.lit(0))).alias("n"))
+    j = one.join(na, key, "left").join(nb, key, "left").join(both, key, "left").fillna(0, ["na", "nb", "n"])
+    return j.select(*key, F.when(F.col("na") + F.col("nb") > F.col("n"), F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).otherwise(0.0).alias("iou"))
+
+
+def link_ious(truth: DataFrame, cells: DataFrame, runs: DataFrame, heights: DataFrame) -> DataFrame:
+    """(dataset_id, t, pair_id[, sample_rank], link_iou_shifted_median) of operations as in `operation_features`; NULL without links. A link's target is moved
+    by the rounded difference of the y of its cells, halves to the even number."""
+    key = ["dataset_id", "t", "pair_id", *[c for c in ("sample_rank",) if c in truth.columns]]
+    delta = F.col("delta_t") if "delta_t" in truth.columns else F.lit(1)
+    o = truth.select(*key, (F.col("t") + delta).alias("k"), F.explode("ops").alias("o")).where("o.kind = 'link'").select(*key, "k", "o.src", F.col("o.dst1").alias("dst"))
+    o = o.join(cells.select("dataset_id", "t", F.col("label").alias("src"), F.col("y").alias("ys")), ["dataset_id", "t", "src"]).join(cells.select("dataset_id", F.col("t").alias("k"), F.col("label").alias("dst"), F.col("y").alias("yd")), ["dataset_id", "k", "dst"])
+    o = Stored(o.withColumn("shift", F.rint(F.col("ys") - F.col("yd")).cast("int"))).df
+    j = o.join(shifted_overlaps(o, runs, heights), ["dataset_id", "t", "src", "k", "dst", "shift"])
+    return truth.select(*key).distinct().join(j.groupBy(*key).agg(F.median("iou").alias("link_iou_shifted_median")), key, "left")

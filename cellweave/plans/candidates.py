@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators import selection as sel
-from cellweave.schemas import FEATURES
-from cellweave.session import table
+from cellweave.operators import tracking as trk
+from cellweave.schemas import FEATURES, value
+from cellweave.session import stored, table
 
 
 def _candidates(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -80,9 +81,19 @@ def ops_first_of_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.first_of_equals(_candidates(spark, sf_dir, "ops_json"))
 
 
+def qa_bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of scored whose best candidate is doubtful dropped, and bridged by its spans over more frames."""
+    rows = table(spark, sf_dir, "scored").where("pair_id IS NOT NULL AND dataset_id IS NOT NULL").select("dataset_id", "t", "delta_t", "ops_json", value("candidate_correctness_probability").alias("p"))
+    best = stored(rows.groupBy("dataset_id", "t", "delta_t").agg(F.max("p").alias("score"), F.max(F.when(F.col("p").isNotNull(), F.struct("p", "ops_json")))["ops_json"].alias("ops_json")))
+    dropped = F.coalesce(F.col("score") < 0.8, F.lit(False))
+    decisions = best.where("delta_t = 1").select("dataset_id", "t", F.when(dropped, "DROP").otherwise("KEEP").alias("action"), F.when(dropped, "ANOMALY").alias("drop_reason"))
+    spans = best.select("dataset_id", F.col("t").alias("t_a"), (F.col("t") + F.col("delta_t")).alias("t_b"), "score", "ops_json")
+    return _rounded(trk.bridge_drops(decisions, spans, tau=0.5, max_gap=3))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (select_dp_min, select_classifier_max, ensemble_rank, ensemble_zscore, pair_softmax, uniform_prior, per_pair_features, pair_diagnostics, qa_decisions, rule_flags, ops_parsed, ops_first_of_equals)
+    for f in (qa_bridged, select_dp_min, select_classifier_max, ensemble_rank, ensemble_zscore, pair_softmax, uniform_prior, per_pair_features, pair_diagnostics, qa_decisions, rule_flags, ops_parsed, ops_first_of_equals)
 }
 
 _C = "WITH c AS (SELECT DISTINCT pair_id, sample_rank{columns} FROM scored WHERE pair_id IS NOT NULL)"
@@ -137,7 +148,43 @@ _GAPS = (
 )
 _DIAGNOSED = _c("dataset_id", "t", "dp_cost", "raw_score", "pair_probability", "is_correct", "ops_json") + ", " + _GAPS
 
+# operation lists as lists of texts, and the key that is equal for lists that differ in order only
+OPS_LIST = "CAST(ops_json AS JSON)::VARCHAR[][]"
+OPS_KEY = """array_to_string(list_transform(list_sort(list_transform({o}, lambda x: CASE WHEN x[1] = 'divide' AND coalesce(x[3]::INT, -1) > coalesce(x[4]::INT, -1)
+  THEN {{'s': x[2]::INT, 'k': x[1], 'a': coalesce(x[4]::INT, -1), 'b': coalesce(x[3]::INT, -1)}} ELSE {{'s': x[2]::INT, 'k': x[1], 'a': coalesce(x[3]::INT, -1), 'b': coalesce(x[4]::INT, -1)}} END)),
+  lambda y: y.s || ':' || y.k || ':' || y.a || ':' || y.b), '|')"""
+_GIVEN = "(CASE WHEN x[3] IS NULL THEN 0 ELSE 1 END + CASE WHEN x[4] IS NULL THEN 0 ELSE 1 END)"
+_PARSED = (
+    _c("ops_json")
+    + f""", q AS (SELECT pair_id, sample_rank, {OPS_LIST} AS o FROM c),
+f AS (SELECT *, list_transform(o, lambda x: x[2]) AS src, list_filter(flatten(list_transform(o, lambda x: [x[3], x[4]])), lambda d: d IS NOT NULL) AS dst, CAST(len(list_filter(o, lambda x: x[1] = 'exit')) AS INTEGER) AS exits FROM q),
+p AS (SELECT pair_id, sample_rank, CAST(len(list_filter(o, lambda x: x[1] = 'link')) AS INTEGER) AS links, CAST(len(list_filter(o, lambda x: x[1] = 'divide')) AS INTEGER) AS divides, exits, {OPS_KEY.format(o="o")} AS canonical_key,
+  coalesce(array_to_string(list_reverse(list_transform(o, lambda x: x[1][1])), ''), '') AS compact,
+  CASE WHEN o IS NULL THEN 'not a list of operations' WHEN len(list_filter(o, lambda x: coalesce(x[1], '') NOT IN ('link', 'divide', 'exit'))) > 0 THEN 'unknown kind' WHEN len(list_filter(src, lambda s: s IS NULL)) > 0 THEN 'no source'
+    WHEN len(list_filter(o, lambda x: {_GIVEN} <> CASE x[1] WHEN 'link' THEN 1 WHEN 'divide' THEN 2 ELSE 0 END)) > 0 THEN 'wrong number of destinations'
+    WHEN len(list_distinct(src)) < len(o) THEN 'source used twice' WHEN len(list_distinct(dst)) < len(dst) THEN 'destination used twice'
+    WHEN len(list_filter(o[1:exits], lambda x: x[1] <> 'exit')) > 0 THEN 'exit after another operation' END AS error
+  FROM f)
+"""
+)
+
 SQL = {
+    "ops_parsed": _PARSED + "SELECT * FROM p",
+    "ops_first_of_equals": _PARSED + "SELECT pair_id, canonical_key, min(sample_rank) AS sample_rank FROM p GROUP BY ALL",
+    "qa_bridged": """WITH RECURSIVE s AS (SELECT dataset_id, t, delta_t, ops_json, CASE WHEN NOT isnan(candidate_correctness_probability) THEN candidate_correctness_probability END AS p
+  FROM scored WHERE pair_id IS NOT NULL AND dataset_id IS NOT NULL),
+b AS (SELECT dataset_id, t, delta_t, max(p) AS score FROM s GROUP BY ALL), m AS (SELECT dataset_id, t, delta_t, p, max(ops_json) AS ops_json FROM s WHERE p IS NOT NULL GROUP BY ALL),
+d AS (SELECT dataset_id, t, coalesce(score < 0.8, FALSE) AS gone FROM b WHERE delta_t = 1),
+x AS (SELECT d.dataset_id, d.t AS t_drop, b.t AS t_a, b.t + b.delta_t AS t_b, score, row_number() OVER (PARTITION BY d.dataset_id, d.t ORDER BY b.delta_t, score DESC, b.t) AS k
+  FROM d JOIN b ON d.dataset_id = b.dataset_id AND b.t <= d.t AND d.t < b.t + b.delta_t WHERE gone AND b.delta_t BETWEEN 2 AND 3 AND score >= 0.5),
+y AS (SELECT x.*, m.ops_json FROM x LEFT JOIN m ON x.dataset_id = m.dataset_id AND x.t_a = m.t AND x.t_b = m.t + m.delta_t AND x.score = m.p WHERE k = 1),
+n AS (SELECT d.dataset_id, d.t, min(e.t) AS nt FROM d LEFT JOIN y ON d.dataset_id = y.dataset_id AND d.t = y.t_drop JOIN d e ON d.dataset_id = e.dataset_id AND e.gone AND e.t >= greatest(coalesce(y.t_b, 0), d.t + 1) WHERE d.gone GROUP BY ALL),
+w(dataset_id, t) AS (SELECT dataset_id, min(t) FROM d WHERE gone GROUP BY dataset_id UNION ALL SELECT n.dataset_id, n.nt FROM w JOIN n ON w.dataset_id = n.dataset_id AND w.t = n.t),
+a AS (SELECT y.dataset_id, y.t_a, min(y.t_drop) AS f, max(y.t_drop) AS l FROM w JOIN y ON w.dataset_id = y.dataset_id AND w.t = y.t_drop GROUP BY ALL),
+z AS (SELECT a.dataset_id, a.t_a, a.f, y.t_b, y.score, y.ops_json FROM a JOIN y ON a.dataset_id = y.dataset_id AND a.l = y.t_drop),
+c AS (SELECT d.dataset_id, d.t, d.gone, z.*EXCLUDE (dataset_id), row_number() OVER (PARTITION BY d.dataset_id, d.t ORDER BY z.f, z.t_a) AS k FROM d LEFT JOIN z ON d.dataset_id = z.dataset_id AND z.t_a <= d.t AND d.t < z.t_b)
+SELECT dataset_id, t, CASE WHEN t_a IS NOT NULL THEN 'BRIDGE' WHEN gone THEN 'DROP' ELSE 'KEEP' END AS action, CASE WHEN t_a IS NULL AND gone THEN 'BRIDGE_FAILED' END AS drop_reason, t_a AS bridge_t_a, t_b AS bridge_t_b,
+  CAST(CAST(round(score, 9) AS FLOAT) AS DOUBLE) AS bridge_score, CASE WHEN t = t_a THEN ops_json END AS bridge_ops_json, coalesce(t = t_a, FALSE) AS bridge_is_primary FROM c WHERE k = 1""",
     "select_dp_min": _CHOICE + _PICK.format(order="dp_cost, sample_rank", known="dp_cost IS NOT NULL", score="dp_cost"),
     "select_classifier_max": _CHOICE + _PICK.format(order="raw_score DESC, sample_rank", known="raw_score IS NOT NULL", score="raw_score"),
     "ensemble_rank": _CHOICE

@@ -176,6 +176,14 @@ SELECT *, birth_observed AND end_cause = 'divided' AND n_gap_frames = 0 AS compl
     + """, pr AS (SELECT DISTINCT c.dataset_id, c.track_id AS b, u.parent_id AS a FROM cycles c JOIN cycles u ON c.dataset_id = u.dataset_id AND c.parent_id = u.track_id WHERE u.parent_id IS NOT NULL),
 j AS (SELECT pr.*, gb.path AS pb, ga.path AS pa FROM pr LEFT JOIN g gb ON pr.dataset_id = gb.dataset_id AND pr.b = gb.n LEFT JOIN g ga ON pr.dataset_id = ga.dataset_id AND pr.a = ga.n)
 SELECT dataset_id, a, b, array_to_string(CASE WHEN list_position(pb, a) > 0 THEN pb[list_position(pb, a):] WHEN list_position(pa, b) > 0 THEN pa[list_position(pa, b):] ELSE [] END, '/') AS path FROM j""",
+    "mother_branch": _T
+    + """, en AS (SELECT dataset_id, coalesce(min(nullif(trim(open_end), '')), '') = 'high' AS high FROM dataset_manifest WHERE dataset_id IS NOT NULL GROUP BY dataset_id),
+bo AS (SELECT dataset_id, track_id, t, y FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, track_id ORDER BY t, label, x NULLS FIRST, y NULLS FIRST) AS k FROM (SELECT tr.*, CASE WHEN isnan(tk.x) THEN NULL ELSE tk.x END AS x FROM tr JOIN (SELECT DISTINCT dataset_id, track_id, t, label, x FROM tracks) tk USING (dataset_id, track_id, t, label))) WHERE k = 1),
+st AS (SELECT dataset_id, track_id FROM (SELECT bo.*, row_number() OVER (PARTITION BY bo.dataset_id ORDER BY t, CASE WHEN coalesce(high, FALSE) THEN y ELSE -y END NULLS FIRST, track_id) AS k FROM bo LEFT JOIN en ON bo.dataset_id = en.dataset_id) WHERE k = 1),
+ch AS (SELECT dv.dataset_id, dv.mother_track_id AS p, CASE WHEN coalesce(CASE WHEN coalesce(high, FALSE) THEN b.y < a.y ELSE b.y > a.y END, FALSE) THEN d2_track_id ELSE d1_track_id END AS c
+  FROM dv LEFT JOIN en ON dv.dataset_id = en.dataset_id LEFT JOIN bo a ON dv.dataset_id = a.dataset_id AND dv.d1_track_id = a.track_id LEFT JOIN bo b ON dv.dataset_id = b.dataset_id AND dv.d2_track_id = b.track_id),
+br(dataset_id, track_id, step) AS (SELECT dataset_id, track_id, 0 FROM st UNION ALL SELECT ch.dataset_id, ch.c, step + 1 FROM br JOIN ch ON br.dataset_id = ch.dataset_id AND br.track_id = ch.p AND ch.c >= 1 WHERE step < 1000)
+SELECT dataset_id, track_id, min(step) AS step FROM br GROUP BY dataset_id, track_id HAVING count(*) = 1 OR min(step) = 0""",
     "trackset_union": "SELECT dataset_id, track_id FROM tracks UNION SELECT dataset_id, track_id FROM cycles WHERE complete_cycle",
     "trackset_intersect": "SELECT dataset_id, track_id FROM tracks INTERSECT SELECT dataset_id, track_id FROM cycles WHERE complete_cycle",
     "trackset_minus": "SELECT dataset_id, track_id FROM tracks EXCEPT SELECT dataset_id, track_id FROM cycles WHERE complete_cycle",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.costs import TrackerParams
 from cellweave.operators import tracking as trk
-from cellweave.plans.candidates import _rounded
+from cellweave.plans.candidates import OPS_KEY, OPS_LIST, _rounded
 from cellweave.plans.lineage import _divisions, _manifest, _tracks
 from cellweave.session import stored, table
 
@@ -107,6 +107,11 @@ _LINK = f"0.02 * abs(ys - ya) + 0.2 * abs(ln((s + 1e-9) / (a + 1e-9))) + 50 * {_
 _DIVIDE = f"0.1 + 0.02 * (abs(ys - ya) + abs(ys - yb)) + 0.2 * abs(s - (a + b)) / greatest(s, 1) + 2 * abs(a - b) / (a + b + 1e-9) - 10 * ({_shrunk('a')} + {_shrunk('b')})"
 
 SQL = {
+    "gt_matches": _O
+    + f"""SELECT pair_id, count(*) AS n_candidates, bool_or(key = own) AS has_truth FROM (
+  SELECT s.pair_id, {OPS_KEY.format(o="o")} AS key, g.own FROM (SELECT DISTINCT pair_id, sample_rank, {OPS_LIST} AS o FROM scored WHERE pair_id IS NOT NULL) s LEFT JOIN (
+    SELECT dataset_id || ':' || t || '->' || (t + 1) AS pair_id, {OPS_KEY.format(o="list([kind, src::VARCHAR, CASE WHEN kind <> 'exit' THEN dst1::VARCHAR END, CASE WHEN kind = 'divide' THEN dst2::VARCHAR END])")} AS own FROM o GROUP BY dataset_id, t) g
+  ON s.pair_id = g.pair_id) GROUP BY pair_id""",
     "gt_ops": _O + "SELECT dataset_id, t, kind, src, CASE WHEN kind <> 'exit' THEN dst1 END AS dst1, CASE WHEN kind = 'divide' THEN dst2 END AS dst2 FROM o",
     "op_costs": _O + f"SELECT dataset_id, t, kind, src, {_f(f'CASE WHEN kind = $$link$$ THEN {_LINK} ELSE {_DIVIDE} END')} AS cost FROM w WHERE kind <> 'exit'".replace("$$", "'"),
     "op_features": _O

@@ -14,8 +14,14 @@ FEATURES = (
     "div_daughter_area_ratio_mean", "div_mother_daughter_dy_max_norm", "div_mother_daughter_dy_mean_norm",
 )
 DIVISION_FEATURES = tuple(f for f in FEATURES if f.startswith("div_"))
+# fixed values: the features of the reduced set
+REDUCED = (
+    "max_shrink_pct", "total_area_ratio_exit_adjusted", "exit_open_end_dist_median_norm", "link_area_ratio_median", "link_dy_max_norm", "link_iou_shifted_median",
+    "div_mother_sum_area_ratio_mean", "div_daughter_area_ratio_mean", "div_mother_daughter_dy_mean_norm",
+)
 FEATURE_SETS = {
     "all": FEATURES,
+    "reduced_v1": REDUCED,
     "division": DIVISION_FEATURES,
     "non_division": tuple(f for f in FEATURES if f not in DIVISION_FEATURES),
     "all_plus_counts": (*FEATURES, "n_links", "n_exits", "n_divides"),

@@ -10,8 +10,8 @@ from cellweave.sources import labels
 def test_from_images_to_cycles(spark, tmp_path):
     images = []
     for t in range(4):
-        i = np.zeros((40, 8), np.uint32)
-        i[2:8, 1:6], i[14:22, 1:6] = 1, 2
+        i = np.zeros((44, 11), np.uint32)
+        i[4:10, 3:8], i[19:28, 3:8] = 1, 2
         images.append(i)
     (tmp_path / "in").mkdir()
     for t, i in enumerate(images):

@@ -112,7 +112,7 @@ def test_k_best_is_the_head_of_all_sequences(spark):
 
 def test_stable_stack_gives_two_tracks(spark):
     p = costs.TrackerParams(open_end="high")
-    arrays = tracked(tracking.cells_from_frames(frames_df(spark, [image((40, 8), _1=(2, 8, 1, 6), _2=(14, 22, 1, 6))] * 5)), p, 40)
+    arrays = tracked(tracking.cells_from_frames(frames_df(spark, [image((36, 9), _1=(5, 12, 2, 8), _2=(19, 28, 2, 8))] * 5)), p, 36)
     best = tracking.generate_candidates(tracking.frame_pairs(arrays), p, 1)
     tracks, events, divisions = tracking.reconstruct(best.select("dataset_id", "t", "ops"), arrays)
     got = sorted((r["track_id"], r["t"], r["label"]) for r in tracks.collect())
@@ -260,7 +260,7 @@ def test_scorers_tell_classes_apart(spark):
     kept = scored.where(F.col("is_correct") & (F.col("raw_score") >= t)).count() / scored.where("is_correct").count()
     assert 0.9 <= kept < 0.93
     for method in ("isotonic", "sigmoid"):
-        assert scoring.calibrate(scored, method)(scored).where("candidate_correctness_probability BETWEEN 0 AND 1").count() == 600
+        assert scoring.calibrate(df, method=method, folds=2)(df).where("candidate_correctness_probability BETWEEN 0 AND 1").count() == 600
     with pytest.raises(ValueError):
         scoring.fit_scorer(df.where("is_correct"))
 

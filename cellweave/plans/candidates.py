@@ -21,7 +21,7 @@ def _choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles in single precision, so that sums in another order compare as equal."""
-    return df.select(*[F.round(c, 9).cast("float").cast("double").alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[F.round(c, 12).cast("float").cast("double").alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def select_dp_min(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,23 +118,23 @@ def _features_sql() -> str:
     aggs = []
     for f in FEATURES:
         v = f"CASE WHEN isfinite({f}) THEN {f} END"
-        aggs += [f"CAST(CAST(round(max({v}), 9) AS FLOAT) AS DOUBLE) AS {f}_max", f"CAST(CAST(round(min({v}), 9) AS FLOAT) AS DOUBLE) AS {f}_min", f"CAST(CAST(round(avg({v}), 9) AS FLOAT) AS DOUBLE) AS {f}_mean", f"CAST(CAST(round(stddev_pop({v}), 9) AS FLOAT) AS DOUBLE) AS {f}_std"]
+        aggs += [f"CAST(CAST(round(max({v}), 12) AS FLOAT) AS DOUBLE) AS {f}_max", f"CAST(CAST(round(min({v}), 12) AS FLOAT) AS DOUBLE) AS {f}_min", f"CAST(CAST(round(avg({v}), 12) AS FLOAT) AS DOUBLE) AS {f}_mean", f"CAST(CAST(round(stddev_pop({v}), 12) AS FLOAT) AS DOUBLE) AS {f}_std"]
     s, d, p = (f"CASE WHEN isfinite({x}) THEN {x} END" for x in ("raw_score", "dp_cost", "pair_probability"))
     aggs += [
-        f"CAST(CAST(round(max({s}), 9) AS FLOAT) AS DOUBLE) AS score_max", f"CAST(CAST(round(min({s}), 9) AS FLOAT) AS DOUBLE) AS score_min", f"CAST(CAST(round(avg({s}), 9) AS FLOAT) AS DOUBLE) AS score_mean", f"CAST(CAST(round(stddev_pop({s}), 9) AS FLOAT) AS DOUBLE) AS score_std",
-        f"CAST(CAST(round(ln(sum({p})) - sum(CASE WHEN {p} > 0 THEN {p} * ln({p}) END) / sum({p}), 9) AS FLOAT) AS DOUBLE) AS score_entropy", f"CAST(CAST(round(max({p}), 9) AS FLOAT) AS DOUBLE) AS score_max_pair_probability",
-        f"CAST(CAST(round(min({d}), 9) AS FLOAT) AS DOUBLE) AS dp_cost_min", f"CAST(CAST(round(max({d}), 9) AS FLOAT) AS DOUBLE) AS dp_cost_max", f"CAST(CAST(round(avg({d}), 9) AS FLOAT) AS DOUBLE) AS dp_cost_mean", f"CAST(CAST(round(max({d}) - min({d}), 9) AS FLOAT) AS DOUBLE) AS dp_cost_range",
+        f"CAST(CAST(round(max({s}), 12) AS FLOAT) AS DOUBLE) AS score_max", f"CAST(CAST(round(min({s}), 12) AS FLOAT) AS DOUBLE) AS score_min", f"CAST(CAST(round(avg({s}), 12) AS FLOAT) AS DOUBLE) AS score_mean", f"CAST(CAST(round(stddev_pop({s}), 12) AS FLOAT) AS DOUBLE) AS score_std",
+        f"CAST(CAST(round(ln(sum({p})) - sum(CASE WHEN {p} > 0 THEN {p} * ln({p}) END) / sum({p}), 12) AS FLOAT) AS DOUBLE) AS score_entropy", f"CAST(CAST(round(max({p}), 12) AS FLOAT) AS DOUBLE) AS score_max_pair_probability",
+        f"CAST(CAST(round(min({d}), 12) AS FLOAT) AS DOUBLE) AS dp_cost_min", f"CAST(CAST(round(max({d}), 12) AS FLOAT) AS DOUBLE) AS dp_cost_max", f"CAST(CAST(round(avg({d}), 12) AS FLOAT) AS DOUBLE) AS dp_cost_mean", f"CAST(CAST(round(max({d}) - min({d}), 12) AS FLOAT) AS DOUBLE) AS dp_cost_range",
         "min(dataset_id) AS dataset_id", "min(t) AS t", "CAST(count(*) AS INTEGER) AS n_candidates",
     ]
-    best = ", ".join(f"CAST(CAST(round({f}, 9) AS FLOAT) AS DOUBLE) AS {f}_best" for f in FEATURES)
+    best = ", ".join(f"CAST(CAST(round({f}, 12) AS FLOAT) AS DOUBLE) AS {f}_best" for f in FEATURES)
     return (
         _c("dataset_id", "t", *sorted(_DOUBLES))
         + f", g AS (SELECT pair_id, {', '.join(aggs)} FROM c GROUP BY pair_id), "
         + _best_of("raw_score IS NULL, coalesce(raw_score, -dp_cost) DESC NULLS LAST, sample_rank", "TRUE", "b", best)
-        + ", s AS (SELECT pair_id, CAST(CAST(round(max(CASE WHEN k = 1 THEN raw_score END) - max(CASE WHEN k = 2 THEN raw_score END), 9) AS FLOAT) AS DOUBLE) AS score_margin_top1_top2 FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY raw_score DESC, sample_rank) AS k"
+        + ", s AS (SELECT pair_id, CAST(CAST(round(max(CASE WHEN k = 1 THEN raw_score END) - max(CASE WHEN k = 2 THEN raw_score END), 12) AS FLOAT) AS DOUBLE) AS score_margin_top1_top2 FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY raw_score DESC, sample_rank) AS k"
         + f" FROM c WHERE {_FINITE}) GROUP BY pair_id), "
         + _GAPS
-        + " SELECT g.*, b.* EXCLUDE (pair_id), s.score_margin_top1_top2, CASE WHEN complete THEN CAST(CAST(round(sqrt(norm * score_gap), 9) AS FLOAT) AS DOUBLE) END AS disagreement_score"
+        + " SELECT g.*, b.* EXCLUDE (pair_id), s.score_margin_top1_top2, CASE WHEN complete THEN CAST(CAST(round(sqrt(norm * score_gap), 12) AS FLOAT) AS DOUBLE) END AS disagreement_score"
         + " FROM g LEFT JOIN b USING (pair_id) LEFT JOIN s USING (pair_id) LEFT JOIN gaps USING (pair_id)"
     )
 
@@ -184,7 +184,7 @@ a AS (SELECT y.dataset_id, y.t_a, min(y.t_drop) AS f, max(y.t_drop) AS l FROM w
 z AS (SELECT a.dataset_id, a.t_a, a.f, y.t_b, y.score, y.ops_json FROM a JOIN y ON a.dataset_id = y.dataset_id AND a.l = y.t_drop),
 c AS (SELECT d.dataset_id, d.t, d.gone, z.*EXCLUDE (dataset_id), row_number() OVER (PARTITION BY d.dataset_id, d.t ORDER BY z.f, z.t_a) AS k FROM d LEFT JOIN z ON d.dataset_id = z.dataset_id AND z.t_a <= d.t AND d.t < z.t_b)
 SELECT dataset_id, t, CASE WHEN t_a IS NOT NULL THEN 'BRIDGE' WHEN gone THEN 'DROP' ELSE 'KEEP' END AS action, CASE WHEN t_a IS NULL AND gone THEN 'BRIDGE_FAILED' END AS drop_reason, t_a AS bridge_t_a, t_b AS bridge_t_b,
-  CAST(CAST(round(score, 9) AS FLOAT) AS DOUBLE) AS bridge_score, CASE WHEN t = t_a THEN ops_json END AS bridge_ops_json, coalesce(t = t_a, FALSE) AS bridge_is_primary FROM c WHERE k = 1""",
+  CAST(CAST(round(score, 12) AS FLOAT) AS DOUBLE) AS bridge_score, CASE WHEN t = t_a THEN ops_json END AS bridge_ops_json, coalesce(t = t_a, FALSE) AS bridge_is_primary FROM c WHERE k = 1""",
     "select_dp_min": _CHOICE + _PICK.format(order="dp_cost, sample_rank", known="dp_cost IS NOT NULL", score="dp_cost"),
     "select_classifier_max": _CHOICE + _PICK.format(order="raw_score DESC, sample_rank", known="raw_score IS NOT NULL", score="raw_score"),
     "ensemble_rank": _CHOICE
@@ -197,18 +197,18 @@ SELECT pair_id, t, sample_rank AS chosen_idx, CAST(0.5 * d + 0.5 * s AS DOUBLE)
   FROM c WHERE dp_cost IS NOT NULL AND {_FINITE} WINDOW p AS (PARTITION BY pair_id)),
 m AS (SELECT *, round(0.5 * CASE WHEN sd > 0 THEN (md - dp_cost) / sd ELSE 0 END + 0.5 * CASE WHEN sc > 0 THEN (raw_score - mc) / sc ELSE 0 END, 9) AS mixed FROM q),
 r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY mixed DESC, sample_rank) AS k FROM m)
-SELECT pair_id, t, sample_rank AS chosen_idx, CAST(CAST(round(mixed, 9) AS FLOAT) AS DOUBLE) AS chosen_score, ops_json AS chosen_ops_json FROM r WHERE k = 1""",
+SELECT pair_id, t, sample_rank AS chosen_idx, CAST(CAST(round(mixed, 12) AS FLOAT) AS DOUBLE) AS chosen_score, ops_json AS chosen_ops_json FROM r WHERE k = 1""",
     "pair_softmax": _c("raw_score")
     + f""", f AS (SELECT *, exp(raw_score - max(raw_score) OVER (PARTITION BY pair_id)) AS e, row_number() OVER (PARTITION BY pair_id ORDER BY raw_score DESC, sample_rank) AS k FROM c WHERE {_FINITE})
-SELECT c.pair_id, c.sample_rank, CAST(CAST(round(e / sum(e) OVER (PARTITION BY c.pair_id), 9) AS FLOAT) AS DOUBLE) AS pair_probability, CAST(k AS DOUBLE) AS score_rank
+SELECT c.pair_id, c.sample_rank, CAST(CAST(round(e / sum(e) OVER (PARTITION BY c.pair_id), 12) AS FLOAT) AS DOUBLE) AS pair_probability, CAST(k AS DOUBLE) AS score_rank
 FROM c LEFT JOIN f ON c.pair_id = f.pair_id AND c.sample_rank = f.sample_rank""",
-    "uniform_prior": _c() + " SELECT pair_id, sample_rank, CAST(CAST(round(1.0 / count(*) OVER (PARTITION BY pair_id), 9) AS FLOAT) AS DOUBLE)::DOUBLE AS prior FROM c",
+    "uniform_prior": _c() + " SELECT pair_id, sample_rank, CAST(CAST(round(1.0 / count(*) OVER (PARTITION BY pair_id), 12) AS FLOAT) AS DOUBLE)::DOUBLE AS prior FROM c",
     "per_pair_features": _features_sql(),
     "pair_diagnostics": _DIAGNOSED
-    + """, g AS (SELECT pair_id, min(dataset_id) AS dataset_id, min(t) AS t, CAST(count(*) AS INTEGER) AS n_candidates, CAST(CAST(round(max(CASE WHEN isfinite(raw_score) THEN raw_score END), 9) AS FLOAT) AS DOUBLE) AS within_pair_max_score,
-  CAST(CAST(round(-sum(CASE WHEN pair_probability > 0 AND isfinite(pair_probability) THEN pair_probability * ln(pair_probability) END), 9) AS FLOAT) AS DOUBLE) AS within_pair_entropy, bool_or(is_correct) AS has_correct_candidate FROM c GROUP BY pair_id)
-SELECT g.*, dr AS dp_top1_idx, cr AS classifier_top1_idx, coalesce(dr <> cr, FALSE) AS classifier_disagrees_with_dp, CASE WHEN complete THEN CAST(CAST(round(gap, 9) AS FLOAT) AS DOUBLE) END AS dp_cost_gap,
-  CASE WHEN complete THEN CAST(CAST(round(norm, 9) AS FLOAT) AS DOUBLE) END AS dp_cost_gap_normalised, CASE WHEN complete THEN CAST(CAST(round(score_gap, 9) AS FLOAT) AS DOUBLE) END AS classifier_score_gap, CASE WHEN complete THEN CAST(CAST(round(sqrt(norm * score_gap), 9) AS FLOAT) AS DOUBLE) END AS disagreement_score
+    + """, g AS (SELECT pair_id, min(dataset_id) AS dataset_id, min(t) AS t, CAST(count(*) AS INTEGER) AS n_candidates, CAST(CAST(round(max(CASE WHEN isfinite(raw_score) THEN raw_score END), 12) AS FLOAT) AS DOUBLE) AS within_pair_max_score,
+  CAST(CAST(round(-sum(CASE WHEN pair_probability > 0 AND isfinite(pair_probability) THEN pair_probability * ln(pair_probability) END), 12) AS FLOAT) AS DOUBLE) AS within_pair_entropy, bool_or(is_correct) AS has_correct_candidate FROM c GROUP BY pair_id)
+SELECT g.*, dr AS dp_top1_idx, cr AS classifier_top1_idx, coalesce(dr <> cr, FALSE) AS classifier_disagrees_with_dp, CASE WHEN complete THEN CAST(CAST(round(gap, 12) AS FLOAT) AS DOUBLE) END AS dp_cost_gap,
+  CASE WHEN complete THEN CAST(CAST(round(norm, 12) AS FLOAT) AS DOUBLE) END AS dp_cost_gap_normalised, CASE WHEN complete THEN CAST(CAST(round(score_gap, 12) AS FLOAT) AS DOUBLE) END AS classifier_score_gap, CASE WHEN complete THEN CAST(CAST(round(sqrt(norm * score_gap), 12) AS FLOAT) AS DOUBLE) END AS disagreement_score
 FROM g JOIN gaps USING (pair_id)""",
     "qa_decisions": _DIAGNOSED
     + """, a AS (SELECT pair_id, dr, complete AND isfinite(sqrt(norm * score_gap)) AND sqrt(norm * score_gap) > 0.5 AS dropped FROM gaps), m AS (SELECT pair_id, min(t) AS t FROM c GROUP BY pair_id)

@@ -144,7 +144,7 @@ lst AS (SELECT dataset_id, track_id, t, label, axis_len FROM (SELECT *, row_numb
 
 
 def _f(x: str) -> str:
-    return f"CAST(CAST(round({x}, 9) AS FLOAT) AS DOUBLE)"
+    return f"CAST(CAST(round({x}, 12) AS FLOAT) AS DOUBLE)"
 
 
 _CELLS = """, ce AS (SELECT dataset_id, t, label, max(area) AS area FROM tr WHERE area IS NOT NULL GROUP BY ALL),

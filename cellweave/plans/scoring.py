@@ -52,7 +52,7 @@ QUERIES = {f.__name__: f for f in (nb_statistics, nb_family_statistics, nb_score
 
 
 def _f(x: str) -> str:
-    return f"CAST(CAST(round({x}, 9) AS FLOAT) AS DOUBLE)"
+    return f"CAST(CAST(round({x}, 12) AS FLOAT) AS DOUBLE)"
 
 
 def _nb_sql() -> str:

@@ -92,7 +92,7 @@ w AS (SELECT o.*, s.y AS ys, s.area AS s, a.y AS ya, a.area AS a, b.y AS yb, b.a
 
 
 def _f(x: str) -> str:
-    return f"CAST(CAST(round({x}, 9) AS FLOAT) AS DOUBLE)"
+    return f"CAST(CAST(round({x}, 12) AS FLOAT) AS DOUBLE)"
 
 
 def _shrunk(x: str) -> str:

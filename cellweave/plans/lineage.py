@@ -183,7 +183,7 @@ st AS (SELECT dataset_id, track_id FROM (SELECT bo.*, row_number() OVER (PARTITI
 ch AS (SELECT dv.dataset_id, dv.mother_track_id AS p, CASE WHEN coalesce(CASE WHEN coalesce(high, FALSE) THEN b.y < a.y ELSE b.y > a.y END, FALSE) THEN d2_track_id ELSE d1_track_id END AS c
   FROM dv LEFT JOIN en ON dv.dataset_id = en.dataset_id LEFT JOIN bo a ON dv.dataset_id = a.dataset_id AND dv.d1_track_id = a.track_id LEFT JOIN bo b ON dv.dataset_id = b.dataset_id AND dv.d2_track_id = b.track_id),
 br(dataset_id, track_id, step) AS (SELECT dataset_id, track_id, 0 FROM st UNION ALL SELECT ch.dataset_id, ch.c, step + 1 FROM br JOIN ch ON br.dataset_id = ch.dataset_id AND br.track_id = ch.p AND ch.c >= 1 WHERE step < 1000)
-SELECT dataset_id, track_id, min(step) AS step FROM br GROUP BY dataset_id, track_id HAVING count(*) = 1 OR min(step) = 0""",
+SELECT dataset_id, track_id, min(step) AS step FROM br GROUP BY dataset_id, track_id""",
     "trackset_union": "SELECT dataset_id, track_id FROM tracks UNION SELECT dataset_id, track_id FROM cycles WHERE complete_cycle",
     "trackset_intersect": "SELECT dataset_id, track_id FROM tracks INTERSECT SELECT dataset_id, track_id FROM cycles WHERE complete_cycle",
     "trackset_minus": "SELECT dataset_id, track_id FROM tracks EXCEPT SELECT dataset_id, track_id FROM cycles WHERE complete_cycle",

@@ -1,25 +1,26 @@
 """From label images to lineages: cells, frame pairs, candidate operations, features, true operations, tracks.
 
-Pixels and cells are grouped by Spark; a pair of frames is one row that holds the cells of both, so the K-best search runs per row
-inside map tasks. Tracks are the connected components of the chosen links over all frames of a dataset, numbered by exact positions, so
+Pixels and cells are grouped by Spark; a pair of frames is one row that holds the cells of both, so the K-best search runs on
+Arrow batches of pairs inside map tasks. Tracks are the connected components of the chosen links over all frames of a dataset, numbered by exact positions, so
 no task walks through a whole movie.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import ops
-from cellweave.functions.costs import EPS, TrackerParams, divide_cost, exits_cost, link_cost
+from cellweave.functions.costs import EPS, FORBIDDEN, TrackerParams, divide_cost, exits_cost, link_cost
 from cellweave.operators.positions import with_positions
-from cellweave.session import Stored
+from cellweave.session import Stored, small_side
 
 CELL = "struct<label:int,x:double,y:double,area:double,length:double,border:boolean>"
 
@@ -64,96 +65,136 @@ def frame_pairs(arrays: DataFrame, delta: int = 1) -> DataFrame:
     return arrays.join(later, ["dataset_id", "t"]).select("dataset_id", pair_id.alias("pair_id"), "t", F.lit(delta).alias("delta_t"), F.col("cells").alias("a"), "b")
 
 
+def _costs(a: dict, b: dict, p: TrackerParams) -> tuple[np.ndarray, np.ndarray]:
+    """Cost of linking i to j, and of dividing i into j and j + 1, of many pairs with the same numbers of cells. a, b: arrays (pair, cell) of
+    x, y, area, length and border. What can't be told, for want of a position or an area, counts as forbidden."""
+    pos_a, pos_b = a[p.axis][:, :, None], b[p.axis][:, None, :]
+    mother, area_b = a["area"][:, :, None], b["area"][:, None, :]
+    len_a, len_b = a["length"][:, :, None], b["length"][:, None, :]
+    weight = np.full(b["area"].shape, p.wshrink)
+    weight[:, :1][b["border"][:, :1]] = p.wshrink_border
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        ratio = (area_b + EPS) / (mother + EPS)
+        shrink = np.maximum(0.0, 1 - ratio - p.shrink_tol)
+        shift = np.abs(pos_a - pos_b)
+        link = p.wy * shift + p.wa * np.abs(np.log(ratio)) + weight[:, None, :] * shrink
+        d1, d2 = area_b[..., :-1], area_b[..., 1:]
+        divide = p.c_div0 + p.wy * (shift[..., :-1] + shift[..., 1:]) + p.wa * np.abs(mother - (d1 + d2)) / np.maximum(mother, 1.0) + p.wsym * np.abs(d1 - d2) / (d1 + d2 + EPS)
+        divide = divide - p.w_divshrink * (shrink[..., :-1] + shrink[..., 1:])
+        barred = (d1 + d2 > (1 + p.sum_area_tol) * mother) | (np.maximum(d1, d2) > (1 + p.max_area_tol) * mother)
+        barred |= (len_b[..., :-1] + len_b[..., 1:] > (1 + p.sum_len_tol) * len_a) | (np.maximum(len_b[..., :-1], len_b[..., 1:]) > (1 + p.max_len_tol) * len_a)
+    return np.where(np.isfinite(link), link, FORBIDDEN), np.where(barred | ~np.isfinite(divide), FORBIDDEN, divide)
+
+
+def _cheapest(link: np.ndarray, divide: np.ndarray, p: TrackerParams, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(costs (pair, rank), kinds (pair, rank, source)) of the k cheapest sequences of each pair, from the open end: 0 exit, 1 link,
+    2 divide, which is also how many targets each takes. A cost is infinite where a pair has fewer sequences.
+
+    After each source and for each number of targets taken, the k cheapest ways there. Exits come first, so that no target taken means
+    exits only. Equal costs keep the order of the way before: fewer targets first, then its rank.
+    """
+    pairs, n, m = link.shape
+    cost = np.full((pairs, m + 1, k), np.inf)
+    cost[:, 0, 0] = 0
+    came = np.zeros((n, pairs, m + 1, k), np.int32)  # rank of the way before; k and more where the step is a link
+    for i in range(n):
+        both = np.full((pairs, m + 1, 2 * k), np.inf)
+        both[:, 2:, :k] = cost[:, : max(m - 1, 0)] + divide[:, i, :, None]
+        both[:, 1:, k:] = cost[:, :m] + link[:, i, :, None]
+        came[i] = np.argsort(both, axis=2, kind="stable")[..., :k]
+        exits = cost[:, 0, 0] + p.exit_lin + p.exit_quad * (2 * i + 1)
+        cost = np.take_along_axis(both, came[i], 2)
+        cost[:, 0, 0] = exits
+    kinds = np.zeros((pairs, k, n), np.int8)
+    row, at, rank = np.arange(pairs)[:, None], np.full((pairs, k), m), np.tile(np.arange(k), (pairs, 1))
+    for i in reversed(range(n)):
+        before = came[i][row, at, rank]
+        kinds[:, :, i] = np.where(at == 0, 0, np.where(before < k, 2, 1))
+        rank = np.where(at == 0, 0, before % k)
+        at = np.maximum(at - kinds[:, :, i], 0)
+    return cost[:, m], kinds
+
+
 def _pair_costs(a, b, p: TrackerParams) -> tuple[np.ndarray, np.ndarray]:
-    """Cost of linking i to j, and of dividing i into j and j + 1."""
-    n, m = len(a), len(b)
-    pos_a, pos_b = (np.array([c[p.axis] for c in x], float) for x in (a, b))
-    area_a, area_b = (np.array([c["area"] for c in x], float) for x in (a, b))
-    len_a, len_b = (np.array([c["length"] if c["length"] is not None else np.nan for c in x], float) for x in (a, b))
-    if not n or not m:
-        return np.zeros((n, m)), np.zeros((n, max(m - 1, 0)))
-    ratio = (area_b + EPS) / (area_a[:, None] + EPS)
-    shrink = np.maximum(0.0, 1 - ratio - p.shrink_tol)
-    weight = np.full(m, p.wshrink)
-    if b[0]["border"]:
-        weight[0] = p.wshrink_border
-    shift = np.abs(pos_a[:, None] - pos_b)
-    link = p.wy * shift + p.wa * np.abs(np.log(ratio)) + weight * shrink
-    d1, d2 = area_b[:-1], area_b[1:]
-    mother = area_a[:, None]
-    divide = p.c_div0 + p.wy * (shift[:, :-1] + shift[:, 1:]) + p.wa * np.abs(mother - (d1 + d2)) / np.maximum(mother, 1.0) + p.wsym * np.abs(d1 - d2) / (d1 + d2 + EPS)
-    divide = divide - p.w_divshrink * (shrink[:, :-1] + shrink[:, 1:])
-    barred = (d1 + d2 > (1 + p.sum_area_tol) * mother) | (np.maximum(d1, d2) > (1 + p.max_area_tol) * mother)
-    with np.errstate(invalid="ignore"):
-        barred |= (len_b[:-1] + len_b[1:] > (1 + p.sum_len_tol) * len_a[:, None]) | (np.maximum(len_b[:-1], len_b[1:]) > (1 + p.max_len_tol) * len_a[:, None])
-    return link, np.where(barred, 1e9, divide)
+    """The costs of one pair of lists of cells."""
+
+    def side(cells) -> dict:
+        floats = {c: np.array([[np.nan if x[c] is None else x[c] for x in cells]], float) for c in ("x", "y", "area", "length")}
+        return floats | {"border": np.array([[bool(x["border"]) for x in cells]], bool)}
+
+    link, divide = _costs(side(a), side(b), p)
+    return link[0], divide[0]
 
 
 def k_best(a, b, p: TrackerParams, k: int) -> list[tuple[float, str]]:
-    """The k cheapest sequences that explain the pair: (cost, steps), steps a letter per source cell from the open end. Exits come
-    first; equal costs keep the order exit, link, divide."""
-    n, m = len(a), len(b)
-    if m > 2 * n or n == 0 < m:
+    """The k cheapest sequences that explain a pair of lists of cells: (cost, steps), steps a letter per source cell from the open end."""
+    if len(b) > 2 * len(a):
         return []
     link, divide = _pair_costs(a, b, p)
-    rows: list[dict[int, list[tuple[float, str]]]] = [{0: [(0.0, "")]}] + [{} for _ in range(n)]
-    for i in range(n):
-        for j, entries in rows[i].items():
-            # what is left must fit: each source takes two targets at most
-            steps = []
-            if j == 0 and all(set(s) <= {"e"} for _, s in entries[:1]):
-                done = i
-                steps.append((0, "e", p.exit_lin + p.exit_quad * (2 * (done + 1) - 1)))
-            if j < m:
-                steps.append((1, "l", float(link[i, j])))
-            if j + 1 < m:
-                steps.append((2, "d", float(divide[i, j])))
-            for width, letter, cost in steps:
-                left = m - (j + width)
-                if left < 0 or left > 2 * (n - i - 1):
-                    continue
-                source = [e for e in entries if set(e[1]) <= {"e"}] if letter == "e" else entries
-                rows[i + 1].setdefault(j + width, []).extend((c + cost, s + letter) for c, s in source)
-        rows[i + 1] = {j: heapq.nsmallest(k, e, key=lambda x: x[0]) for j, e in rows[i + 1].items()}
-    return rows[n].get(m, [])[:k] if n else ([(0.0, "")] if not m else [])
-
-
-def steps_to_ops(a, b, steps: str) -> list[tuple[str, int, int | None, int | None]]:
-    out, j = [], 0
-    for cell, s in zip(a, steps):
-        if s == "e":
-            out.append(("exit", cell["label"], None, None))
-        elif s == "l":
-            out.append(("link", cell["label"], b[j]["label"], None))
-            j += 1
-        else:
-            out.append(("divide", cell["label"], b[j]["label"], b[j + 1]["label"]))
-            j += 2
-    return out
+    cost, kinds = _cheapest(link[None], divide[None], p, k)
+    return [(float(c), "".join("eld"[x] for x in kind)) for c, kind in zip(cost[0], kinds[0]) if np.isfinite(c)]
 
 
 CANDIDATE = f"dataset_id STRING, pair_id STRING, t INT, delta_t INT, sample_rank INT, dp_cost DOUBLE, n_candidates_pair INT, ops ARRAY<{ops.OP}>"
+_OP = pa.struct([("kind", pa.string()), ("src", pa.int32()), ("dst1", pa.int32()), ("dst2", pa.int32())])
+
+
+#: Ways kept at a time while pairs are solved together (sources x pairs x targets x k); a larger pair is solved alone.
+MAX_WAYS = 1 << 21
+
+
+class _Side:
+    """One frame of all pairs of a batch: the cells in a row, where each pair's begin, and how many there are."""
+
+    def __init__(self, column: pa.ListArray):
+        cells = column.flatten()
+        self.count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.cumsum(self.count) - self.count
+        self.label = pc.struct_field(cells, "label")
+        self._values = {c: pc.struct_field(cells, c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "area", "length")}
+        self._values["border"] = pc.fill_null(pc.struct_field(cells, "border"), False).to_numpy(zero_copy_only=False).astype(bool)
+
+    def of(self, rows: np.ndarray, n: int) -> dict:
+        at = self.start[rows][:, None] + np.arange(n)
+        return {c: v[at] for c, v in self._values.items()}
 
 
 def generate_candidates(pairs: DataFrame, params: TrackerParams, top_k: int = 16) -> DataFrame:
-    """A row per candidate, best first. A pair that can't be explained (more than two targets per source, or no sources) has no rows."""
+    """A row per candidate, best first. A pair that can't be explained (more than two targets per source, or no sources) has no rows.
 
-    columns = ["dataset_id", "pair_id", "t", "delta_t", "sample_rank", "dp_cost", "n_candidates_pair", "ops"]
+    Pairs of a batch that have the same numbers of cells are solved together, one source at a time, on arrays.
+    """
+    out = pa.schema([("dataset_id", pa.string()), ("pair_id", pa.string()), ("t", pa.int32()), ("delta_t", pa.int32()), ("sample_rank", pa.int32()), ("dp_cost", pa.float64()), ("n_candidates_pair", pa.int32()), ("ops", pa.list_(_OP))])
+
+    def solved(batch: pa.RecordBatch, a: _Side, b: _Side, rows: np.ndarray, n: int, m: int) -> pa.RecordBatch:
+        cost, kinds = _cheapest(*_costs(a.of(rows, n), b.of(rows, m), params), params, top_k)
+        there = np.isfinite(cost)
+        pair, rank = np.nonzero(there)
+        kind = kinds[pair, rank]
+        first = b.start[rows][pair][:, None] + np.cumsum(kind, axis=1) - kind
+        src = a.start[rows][pair][:, None] + np.arange(n)
+        flat = kind.ravel()
+        names = pa.DictionaryArray.from_arrays(pa.array(flat), pa.array(["exit", "link", "divide"])).dictionary_decode()
+        to = [b.label.take(pa.array(first.ravel() + k, pa.int64(), mask=flat <= k)) for k in (0, 1)]
+        structs = pa.StructArray.from_arrays([names, a.label.take(pa.array(src.ravel(), pa.int64())), *to], fields=list(_OP))
+        ops_ = pa.ListArray.from_arrays(pa.array(np.arange(len(pair) + 1) * n, pa.int32()), structs)
+        own = pa.array(rows[pair], pa.int64())
+        columns = [*(batch.column(c).take(own) for c in ("dataset_id", "pair_id", "t", "delta_t")), pa.array(rank + 1, pa.int32()), pa.array(cost[pair, rank]), pa.array(there.sum(axis=1)[pair], pa.int32()), ops_]
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, out)], schema=out)
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for d, pid, t, dt, a, b in zip(pdf["dataset_id"], pdf["pair_id"], pdf["t"], pdf["delta_t"], pdf["a"], pdf["b"]):
-                found = k_best(a, b, params, top_k)
-                for rank, (cost, steps) in enumerate(found, 1):
-                    o = [{"kind": x[0], "src": x[1], "dst1": x[2], "dst2": x[3]} for x in steps_to_ops(a, b, steps)]
-                    out.append((d, pid, t, dt, rank, cost, len(found), o))
-                if len(out) >= 2000:  # a batch of pairs has many times its rows
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            yield pd.DataFrame(out, columns=columns)
+        for batch in batches:
+            a, b = _Side(batch.column("a")), _Side(batch.column("b"))
+            sizes, group = np.unique(np.stack([a.count, b.count], axis=1), axis=0, return_inverse=True)
+            for g, (n, m) in enumerate(sizes.tolist()):
+                if m > 2 * n:
+                    continue
+                rows, step = np.flatnonzero(group.ravel() == g), max(1, MAX_WAYS // ((n + 2) * (m + 1) * top_k))
+                for i in range(0, len(rows), step):
+                    yield solved(batch, a, b, rows[i : i + step], n, m)
 
-    return pairs.mapInPandas(run, CANDIDATE).withColumn("is_dpt_best", F.col("sample_rank") == 1).withColumn("ops_json", ops.format_ops(F.col("ops")))
+    made = pairs.select("dataset_id", "pair_id", "t", "delta_t", "a", "b").mapInArrow(run, CANDIDATE)
+    return made.withColumn("is_dpt_best", F.col("sample_rank") == 1).withColumn("ops_json", ops.format_ops(F.col("ops")))
 
 
 def count_candidates(n: int, m: int) -> int:
@@ -237,43 +278,74 @@ def operation_costs(truth: DataFrame, cells: DataFrame, params: TrackerParams) -
     return j.select("dataset_id", "t", "kind", "src", cost.alias("cost")).where("cost IS NOT NULL")
 
 
+def _frames(cells: DataFrame, t: str, name: str) -> DataFrame:
+    """(dataset_id, t, <name>, <name>_area): a frame's cells as a map by label, and their areas together. Of the cells of a label that stands
+    twice in a frame, the map has the one with the least y."""
+    border = F.coalesce("border", F.lit(False)) if "border" in cells.columns else F.lit(False)
+    item = F.struct(F.col("label").cast("int").alias("label"), F.col("y").cast("double").alias("y"), F.col("area").cast("double").alias("area"), border.alias("border"))
+    packed = cells.groupBy("dataset_id", F.col("t").alias(t)).agg(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), item))).alias("_a"), F.sum("area").alias(f"{name}_area"))
+    once = F.filter("_a", lambda x, i: (i == 0) | (F.get(F.col("_a"), i - 1)["label"] != x["label"]))
+    entries = F.transform(once, lambda x: F.struct(x["label"], F.struct(x["y"], x["area"], x["border"])))
+    return packed.select("dataset_id", t, F.map_from_entries(entries).alias(name), f"{name}_area")
+
+
 def operation_features(truth: DataFrame, cells: DataFrame, heights: DataFrame) -> DataFrame:
     """Per pair, or per candidate where there is a sample_rank, the features that need no masks: areas, area ratios, shifts of links and divisions and distances of exits
     in relation to the frame's height. truth: (dataset_id, t, pair_id, ops[, sample_rank, delta_t]), one row for each of these keys; heights: (dataset_id, height[, open_end]), the
-    distance from the open end being y but where open_end is "high". A group without members gives NULL, max_shrink_pct then 0; links that touch the open end (border) don't count for it."""
+    distance from the open end being y but where open_end is "high". A group without members gives NULL, max_shrink_pct then 0; links that touch the open end (border) don't count for it.
+    Operations of cells that their frame doesn't have don't count, and a row without others doesn't come out.
+
+    A row's operations stay together: the two frames' cells come to them as maps, by two joins, so that neither operations nor their cells are rows of a shuffle.
+    """
     key = ["dataset_id", "t", "pair_id", *[c for c in ("sample_rank",) if c in truth.columns]]
     delta = F.col("delta_t") if "delta_t" in truth.columns else F.lit(1)
-    o = truth.select(*key, (F.col("t") + delta).alias("_k"), F.explode("ops").alias("o")).select(*key, "_k", "o.*")
-    border = F.coalesce("border", F.lit(False)) if "border" in cells.columns else F.lit(False)
-
-    def side(name: str, frame: str) -> DataFrame:
-        return cells.select("dataset_id", F.col("t").alias(frame), F.col("label").alias(name), F.struct("y", "area", border.alias("border")).alias(f"_{name}"))
+    high = F.coalesce(F.col("open_end") == "high", F.lit(False)) if "open_end" in heights.columns else F.lit(False)
+    ends = small_side(Stored(heights.select("dataset_id", F.col("height").alias("_height"), high.alias("_high"))).df)
+    here = _frames(cells, "t", "_here").join(ends, "dataset_id")
+    rows = truth.select(*key, (F.col("t") + delta).alias("_k"), "ops").join(here, ["dataset_id", "t"]).join(_frames(cells, "_k", "_there"), ["dataset_id", "_k"], "left")
 
-    def total(frame: str, out: str) -> DataFrame:
-        return cells.groupBy("dataset_id", F.col("t").alias(frame)).agg(F.sum("area").alias(out))
+    def cell(of: str, label: Column) -> Column:
+        return F.try_element_at(F.col(of), label)
 
-    j = o.join(side("src", "t"), ["dataset_id", "t", "src"]).join(side("dst1", "_k"), ["dataset_id", "_k", "dst1"], "left").join(side("dst2", "_k"), ["dataset_id", "_k", "dst2"], "left").join(heights, "dataset_id")
-    s, a, b, h = F.col("_src"), F.col("_dst1"), F.col("_dst2"), F.col("height")
+    placed = F.transform("ops", lambda o: F.struct(o["kind"].alias("kind"), cell("_here", o["src"]).alias("s"), cell("_there", o["dst1"]).alias("a"), cell("_there", o["dst2"]).alias("b")))
+    rows = rows.withColumn("_o", F.filter(placed, lambda o: o["s"].isNotNull())).where(F.size("_o") > 0)
+    h = F.col("_height")
 
     def ratio(x: Column, y: Column) -> Column:
         return F.greatest(x, y) / F.greatest(F.least(x, y), F.lit(EPS))
 
-    link, div = F.col("kind") == "link", F.col("kind") == "divide"
-    lr, ld = F.when(link, ratio(s["area"], a["area"])), F.when(link, F.abs(a["y"] - s["y"]) / h)
-    mr, dr = F.when(div, ratio(s["area"], a["area"] + b["area"])), F.when(div, ratio(a["area"], b["area"]))
-    dy1, dy2 = F.when(div, F.abs(a["y"] - s["y"]) / h), F.when(div, F.abs(b["y"] - s["y"]) / h)
-    shrink = F.when(link & ~(s["border"] | a["border"]), 100 * F.greatest(F.lit(0.0), 1 - (a["area"] + EPS) / (s["area"] + EPS)))
-    high = F.coalesce(F.col("open_end") == "high", F.lit(False)) if "open_end" in heights.columns else F.lit(False)
-    gone = F.when(F.col("kind") == "exit", F.when(high, h - 1 - s["y"]).otherwise(s["y"]) / F.greatest(h, F.lit(1.0)))
-    found = j.groupBy(*key, "_k").agg(
-        F.coalesce(F.max(shrink), F.lit(0.0)).alias("max_shrink_pct"), F.median(lr).alias("link_area_ratio_median"), F.max(lr).alias("link_area_ratio_max"), F.median(ld).alias("link_dy_median_norm"),
-        F.max(ld).alias("link_dy_max_norm"), F.max(mr).alias("div_mother_sum_area_ratio_max"), F.avg(mr).alias("div_mother_sum_area_ratio_mean"), F.max(dr).alias("div_daughter_area_ratio_max"),
-        F.avg(dr).alias("div_daughter_area_ratio_mean"), F.max(F.greatest(dy1, dy2)).alias("div_mother_daughter_dy_max_norm"), (F.sum(dy1 + dy2) / (2 * F.count(dy1))).alias("div_mother_daughter_dy_mean_norm"),
-        F.median(gone).alias("exit_open_end_dist_median_norm"), F.coalesce(F.sum(F.when(F.col("kind") == "exit", s["area"])), F.lit(0.0)).alias("_exits"),
+    def each(kind: str, f: Callable[[Column, Column, Column], Column]) -> Column:
+        return F.array_compact(F.transform(F.filter("_o", lambda o: o["kind"] == kind), lambda o: f(o["s"], o["a"], o["b"])))
+
+    def shift(x: Column, y: Column) -> Column:
+        return F.abs(y["y"] - x["y"]) / h
+
+    rows = rows.select(
+        *key, "_here_area", "_there_area",
+        each("link", lambda s, a, b: ratio(s["area"], a["area"])).alias("_lr"), each("link", lambda s, a, b: shift(s, a)).alias("_ld"),
+        each("link", lambda s, a, b: F.when(~(s["border"] | a["border"]), 100 * F.greatest(F.lit(0.0), 1 - (a["area"] + EPS) / (s["area"] + EPS)))).alias("_shrink"),
+        each("divide", lambda s, a, b: ratio(s["area"], a["area"] + b["area"])).alias("_mr"), each("divide", lambda s, a, b: ratio(a["area"], b["area"])).alias("_dr"),
+        each("divide", lambda s, a, b: F.greatest(shift(s, a), shift(s, b))).alias("_far"), each("divide", lambda s, a, b: shift(s, a) + shift(s, b)).alias("_both"),
+        each("exit", lambda s, a, b: F.when(F.col("_high"), h - 1 - s["y"]).otherwise(s["y"]) / F.greatest(h, F.lit(1.0))).alias("_gone"), each("exit", lambda s, a, b: s["area"]).alias("_exits"),
+    )
+
+    def total(c: str) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+
+    def mean(c: str) -> Column:
+        return F.when(F.size(c) > 0, total(c) / F.size(c))
+
+    def median(c: str) -> Column:
+        s, n = F.array_sort(c), F.size(c)
+        return (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2
+
+    adjusted = F.coalesce("_there_area", F.lit(0.0)) / F.greatest(F.coalesce("_here_area", F.lit(0.0)) - total("_exits"), F.lit(EPS))
+    return rows.select(
+        *key, F.coalesce(F.array_max("_shrink"), F.lit(0.0)).alias("max_shrink_pct"), median("_lr").alias("link_area_ratio_median"), F.array_max("_lr").alias("link_area_ratio_max"),
+        median("_ld").alias("link_dy_median_norm"), F.array_max("_ld").alias("link_dy_max_norm"), F.array_max("_mr").alias("div_mother_sum_area_ratio_max"), mean("_mr").alias("div_mother_sum_area_ratio_mean"),
+        F.array_max("_dr").alias("div_daughter_area_ratio_max"), mean("_dr").alias("div_daughter_area_ratio_mean"), F.array_max("_far").alias("div_mother_daughter_dy_max_norm"),
+        (mean("_both") / 2).alias("div_mother_daughter_dy_mean_norm"), median("_gone").alias("exit_open_end_dist_median_norm"), adjusted.alias("total_area_ratio_exit_adjusted"),
     )
-    found = found.join(total("t", "_area_t"), ["dataset_id", "t"], "left").join(total("_k", "_area_k"), ["dataset_id", "_k"], "left")
-    adjusted = F.coalesce("_area_k", F.lit(0.0)) / F.greatest(F.coalesce("_area_t", F.lit(0.0)) - F.col("_exits"), F.lit(EPS))
-    return found.withColumn("total_area_ratio_exit_adjusted", adjusted).select(*key, *[c for c in found.columns if c not in key and not c.startswith("_")], "total_area_ratio_exit_adjusted")
 
 
 def _node(t: Column, label: Column) -> Column:

@@ -293,7 +293,7 @@ def operation_features(truth: DataFrame, cells: DataFrame, heights: DataFrame) -
     """Per pair, or per candidate where there is a sample_rank, the features that need no masks: areas, area ratios, shifts of links and divisions and distances of exits
     in relation to the frame's height. truth: (dataset_id, t, pair_id, ops[, sample_rank, delta_t]), one row for each of these keys; heights: (dataset_id, height[, open_end]), the
     distance from the open end being y but where open_end is "high". A group without members gives NULL, max_shrink_pct then 0; links that touch the open end (border) don't count for it.
-    Operations of cells that their frame doesn't have don't count, and a row without others doesn't come out.
+    Operations of cells that their frame doesn't have don't count, nor do areas that aren't known, and a row without others doesn't come out.
 
     A row's operations stay together: the two frames' cells come to them as maps, by two joins, so that neither operations nor their cells are rows of a shuffle.
     """
@@ -312,7 +312,7 @@ def operation_features(truth: DataFrame, cells: DataFrame, heights: DataFrame) -
     h = F.col("_height")
 
     def ratio(x: Column, y: Column) -> Column:
-        return F.greatest(x, y) / F.greatest(F.least(x, y), F.lit(EPS))
+        return F.when(x.isNotNull() & y.isNotNull(), F.greatest(x, y) / F.greatest(F.least(x, y), F.lit(EPS)))  # greatest passes over NULL
 
     def each(kind: str, f: Callable[[Column, Column, Column], Column]) -> Column:
         return F.array_compact(F.transform(F.filter("_o", lambda o: o["kind"] == kind), lambda o: f(o["s"], o["a"], o["b"])))

@@ -297,3 +297,58 @@ def test_features_of_every_candidate(spark):
     assert a["max_shrink_pct"] == pytest.approx(55) and a["link_area_ratio_max"] == pytest.approx(200 / 90) and a["link_dy_max_norm"] == pytest.approx(0.06)
     assert a["div_mother_sum_area_ratio_max"] is None and b["link_area_ratio_max"] is None and b["max_shrink_pct"] == 0
     assert b["div_mother_sum_area_ratio_max"] == pytest.approx(300 / 240) and b["div_daughter_area_ratio_mean"] == pytest.approx(150 / 90)
+
+
+def test_pairs_of_all_sizes_in_one_batch(spark):
+    rng = random.Random(5)
+    pairs, want = [], {}
+    for i, (n, m) in enumerate([(0, 0), (0, 1), (1, 0), (1, 3), (2, 2), (2, 2), (3, 4), (3, 4), (3, 4), (4, 3)]):
+        a, b = ([cell(10 * s + k, rng.randint(0, 20), rng.choice((10, 15, 20))) for k in range(1, size + 1)] for s, size in ((1, n), (2, m)))
+        if i == 5:
+            a[0]["area"], b[1]["label"], b[0]["length"] = None, None, None
+        pairs.append(("d", f"p{i}", i, 1, a, b))
+        link, divide = tracking._pair_costs(a, b, PARAMS)
+        every = []
+
+        def grow(s, j, total, kinds, n=n, m=m, link=link, divide=divide, every=every):
+            if s == n:
+                return every.append((total, kinds)) if j == m else None
+            if j == 0:
+                grow(s + 1, 0, total + PARAMS.exit_lin + PARAMS.exit_quad * (2 * s + 1), (*kinds, "exit"))
+            for width, kind in ((1, "link"), (2, "divide")):
+                if j + width <= m:
+                    grow(s + 1, j + width, total + (link if width == 1 else divide)[s, j], (*kinds, kind))
+
+        grow(0, 0, 0.0, ())
+        want[f"p{i}"] = sorted(every)[:5]
+    schema = f"dataset_id STRING, pair_id STRING, t INT, delta_t INT, a ARRAY<{tracking.CELL}>, b ARRAY<{tracking.CELL}>"
+    df = spark.createDataFrame(pairs, schema).coalesce(1)
+    assert tracking.generate_candidates(df.where("false"), PARAMS).count() == 0
+    got = {}
+    for r in tracking.generate_candidates(df, PARAMS, top_k=5).orderBy("pair_id", "sample_rank").collect():
+        got.setdefault(r["pair_id"], []).append(r)
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items() if v}
+    for k, rows in got.items():
+        assert [r["dp_cost"] for r in rows] == pytest.approx([c for c, _ in want[k]])
+        assert [r["sample_rank"] for r in rows] == list(range(1, len(rows) + 1)) and {r["n_candidates_pair"] for r in rows} == {len(rows)}
+        a, b = pairs[int(k[1:])][4:]
+        for r in rows:
+            assert [o["src"] for o in r["ops"]] == [c["label"] for c in a]
+            used = [x for o in r["ops"] for x in {"link": (o["dst1"],), "divide": (o["dst1"], o["dst2"])}.get(o["kind"], ())]
+            assert used == [c["label"] for c in b]
+
+
+def test_features_with_odd_cells(spark):
+    rows = [("d", 0, 1, 5.0, 100.0), ("d", 0, 1, 50.0, 10.0), ("d", 0, None, 7.0, 1.0), ("d", 0, 2, 20.0, None), ("d", 1, 1, 15.0, 50.0)]
+    cells = spark.createDataFrame(rows, "dataset_id STRING, t INT, label INT, y DOUBLE, area DOUBLE")
+    of = f"dataset_id STRING, t INT, pair_id STRING, ops ARRAY<{ops.OP}>"
+    truth = [("d", 0, "p", [("link", 1, 1, None), ("link", 9, 1, None), ("exit", 2, None, None)]), ("d", 0, "q", [("link", 9, 1, None)]), ("d", 0, "r", []), ("d", 0, "s", None), ("d", 1, "u", [("link", 1, 1, None)]), (None, 0, "v", [("exit", 1, None, None)])]
+    heights = spark.createDataFrame([("d", 100.0)], "dataset_id STRING, height DOUBLE")
+    df = spark.createDataFrame(truth, of)
+    got = {r["pair_id"]: r for r in tracking.operation_features(df, cells, heights).collect()}
+    assert set(got) == {"p", "u"}
+    # of the two cells of label 1 the one with the lesser y; a cell that isn't there and an area that isn't known count for nothing
+    assert got["p"]["link_area_ratio_max"] == 2 and got["p"]["link_dy_median_norm"] == pytest.approx(0.1) and got["p"]["exit_open_end_dist_median_norm"] == pytest.approx(0.2)
+    assert got["u"]["link_area_ratio_median"] is None and got["u"]["max_shrink_pct"] == 0
+    assert tracking.operation_features(df, cells.where("false"), heights).count() == 0
+    assert tracking.operation_features(df.where("false"), cells, heights).count() == 0

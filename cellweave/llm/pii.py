@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,7 +46,7 @@ NOT_FAMILY = frozenset(
 _G = r"(?:[ \t\xa0]{1,40}(?:\x1f[ \t\xa0]{0,80})?|\x1f[ \t\xa0]{0,80})"
 _O = rf"{_G}?"
 
-_BASE64 = re.compile(r"(?m)^[>| \t]*(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{48,}={0,2}[ \t\r]*(?:\n[>| \t]*[A-Za-z0-9+/]{1,76}={0,2}[ \t\r]*$)*")
+_BASE64 = re.compile(r"(?m)\n[>| \t]*(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{48,}={0,2}[ \t\r]*(?:\n[>| \t]*[A-Za-z0-9+/]{1,76}={0,2}[ \t\r]*$)*")
 _UUENCODE = re.compile(r"(?m)^[>| \t]*begin [0-7]{3} [^\n]*\n(?:[>| \t]*[\x20-\x60]{1,62}[ \t\r]*\n?)*?(?:[>| \t]*end\b|(?=\n\n|\Z))")
 _TAG = re.compile(r"</?(?:p|div|br|span|td|tr|li|blockquote|html|head|body|font|b|i|P|DIV|BR)\b[^<>\n]*>")
 _QUOTE = re.compile(r"\n(?=[>|: \t&])(?:(?:[>|:]|&gt;)[ \t]?)*[ \t]*(?:(?:[>|:]|&gt;)[ \t]?)*[ \t]*")
@@ -53,7 +54,8 @@ _ID_FIELD = re.compile(r"(?i)(?:[\w-]*message-id|in-reply-to|references|content-
 
 _LOCAL = r"[A-Za-z0-9](?:[\w.+'-]*\w)?"
 _DOMAIN = re.compile(rf"@[A-Za-z0-9-]+(?:(?:\.|\[\.\]|\(\.\)|{_O}[\[(]dot[\])]{_O})[A-Za-z0-9-]+)+", re.ASCII)
-_LOCAL_END = re.compile(rf"(?<![\w.+'-])(?:3D(?<==3D))?({_LOCAL})\Z", re.ASCII)
+_LOCAL_END = re.compile(rf"(?:3D(?<==3D))?({_LOCAL})\Z", re.ASCII)
+_LOCAL_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+'-"
 _DOT = rf"(?:{_O}[\[({{](?:dot|DOT|Dot|\.)[\])}}]{_O}|{_G}DOT{_G}|\.)"
 _SPOKEN = re.compile(rf"(?:[\[({{<](?:at|AT|At|@)[\])}}>]{_O}|(?<=[ \t\xa0\x1f])AT{_G})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)")
 _SPOKEN_LOW = re.compile(rf"(?<=[ \t\xa0\x1f])(?:at|arobase){_G}([A-Za-z0-9-]+(?:{_G}(?:dot|point|punkt|punto){_G}[A-Za-z0-9-]+)+)")
@@ -74,9 +76,12 @@ _HINTS = ("tax", "ersonal", "curit", "nsurance", "assport", "asseport", "assnumm
 _SHORT_HINTS = ("NIE", "DNI", "NIF", "NIR")
 #: The longest label, and the longest number, that the patterns below can match, with the widest gaps they allow.
 LABEL_REACH = 600
+# fixed values: how far before what it holds a label begins, or before the gap in front of that
+_LABEL_STARTS, _LABEL_GAP_STARTS = 9, 11
 _AND = re.compile(rf"{_O}(?:[,;/&]|{_G}(?:and|or|und|oder|et|ou|y|o)(?={_G})){_O}")
 _LONE_LETTER = re.compile(r"[A-Za-z]?\d{7,8}[ \x1f][A-Za-z]")
-_DIGIT, _ENCODED = re.compile(r"\d"), re.compile(r"=[0-9A-F]{2}")
+_DIGIT, _NUMBER, _ENCODED = re.compile(r"\d"), re.compile(r"\d+"), re.compile(r"=[0-9A-F]{2}")
+_IS_DIGIT = bytes(48 <= c < 58 for c in range(256))
 _BARE_ID = re.compile(
     rf"[A-Z](?<![\w./-].)(?:[A-Z](?:([ -])\d\d\1\d\d\1\d\d\1|\d{{6}})[A-D]|(?<=[XYZ])\d{{7}}-?[A-Z])(?![\w-])|[12](?<![\w./-].){_G}\d\d{_G}\d\d{_G}(?:\d\d|2[AB]){_G}\d{{3}}{_G}\d{{3}}(?:{_G}|-)\d\d(?![\w-])"
 )
@@ -89,7 +94,8 @@ _PHONE = re.compile(
     rf"|\(0\d{{1,5}}\){_P}?\d{{2,8}}(?:{_P}\d{{2,8}})*|0[1-9]\d{{7,10}}|0[1-9]\d{{0,4}}(?:{_P}\d{{2,8}}){{1,5}}"
     rf"|[46789]\d\d(?:{_G}\d{{3}}{_G}\d{{3}}|(?:{_G}\d\d){{3}}|(?:\.\d\d){{3}}))(?![\w:@=-]|[.,]\d)(?:{_O}(?:ext\.?|extension|Durchwahl|poste|x){_O}\d{{1,5}}(?!\w))?"
 )
-_PHONE_START = re.compile(r"[+(\d](?<![\w.@/=#-].)")
+# fixed values: what is between the digits of a phone number, and how an extension begins
+_PHONE_GAPS, _EXTENSIONS = "+()-./ \t\xa0\x1f", "eDpx"
 _NO_PHONE = re.compile(
     rf"(?i)(?:order|lot|ticket|ref|grant|run|checksum|frames?|part|version|host|bestellung|commande|pedido|serial|invoice|job|id)\b\.?(?:{_G}(?:no|nr|number|n°)\b\.?)?[ :#\x1f\t]*\Z"
 )
@@ -98,11 +104,13 @@ _UNITS = re.compile(rf"{_G}(?:bytes?|s|ms|px|rows|items|GB|MB|KB)\b")
 _TYPE = r"(?i:Street|Str|St|Road|Rd|Lane|Ln|Avenue|Ave|Court|Ct|Boulevard|Blvd|Close|Drive|Dr|Terrace|Square|Crescent|Gardens|Mews|Way|Row)"
 _UP = r"[A-ZÀ-Þ]"
 _W = r"(?:[\w'’]|=[0-9A-F]{2})"
+# any number of those, possibly none
+_WS = r"[\w'’]*(?:=[0-9A-F]{2}[\w'’]*)*"
 _HOUSE_FIRST = re.compile(
-    rf"\d(?<![\w./-].)(?:\d{{0,3}}[A-Za-z]?{_G}(?:(?:[NSEW]\.?|(?i:North|South|East|West)){_G})?(?:(?:{_UP}{_W}*(?:-{_UP}{_W}*)?|\d+(?i:st|nd|rd|th)){_G}){{1,3}}?{_TYPE}(?:(?<=St)\.|(?<=ST)\.|(?<=Rd)\.|(?<=Ave)\.)?(?!\w)"
+    rf"\d(?<![\w./-].)(?:\d{{0,3}}[A-Za-z]?{_G}(?:(?:[NSEW]\.?|(?i:North|South|East|West)){_G})?(?:(?:{_UP}{_WS}(?:-{_UP}{_WS})?|\d+(?i:st|nd|rd|th)){_G}){{1,3}}?{_TYPE}(?:(?<=St)\.|(?<=ST)\.|(?<=Rd)\.|(?<=Ave)\.)?(?!\w)"
     rf"(?!{_G}{_TYPE}\b)(?:,?{_G}(?:(?i:Suite|Apt|Unit|Flat|Floor|Room)\.?{_G}\w+|#{_O}\w+)|,{_G}\d+(?:st|nd|rd|th){_G}(?i:floor))?"
     rf"|\d{{0,3}}(?:{_G}?(?:bis|ter|quater)\b)?,?{_G}(?i:rue|avenue|av\.|bd|boulevard|impasse|place|chemin|all(?:é|=C3=A9|=E9)e|quai|route){_G}(?i:(?:de{_G}la|de|du|des|de{_G}l['’]|d['’]){_G}?)?"
-    rf"(?:(?i:Trois|Quatre|Deux|Cinq|Sept|Saint|Sainte|Grande?|Vieux|Vieille|Petite?|Haute?){_G})?{_UP}{_W}*(?:-{_W}+)*(?:,{_G}b(?:â|=C3=A2|=E2|a)t\.?{_G}\w+)?)"
+    rf"(?:(?i:Trois|Quatre|Deux|Cinq|Sept|Saint|Sainte|Grande?|Vieux|Vieille|Petite?|Haute?){_G})?{_UP}{_WS}(?:-{_W}+)*(?:,{_G}b(?:â|=C3=A2|=E2|a)t\.?{_G}\w+)?)"
 )
 _FLAT = re.compile(rf"(?<![\w./-])(?i:Flat|Apt|Unit){_G}\d+[A-Za-z]?,?{_G}\Z")
 _HOUSE_LAST = re.compile(
@@ -115,12 +123,12 @@ _HOUSE_PLACED = re.compile(
 )
 _PLACE_LABEL = re.compile(rf"(?:[Aa]dresse|wohnhaft|[Aa]nschrift):?{_G}\Z")
 _HOUSE_SPANISH = re.compile(
-    rf"(?<!\w)(?:[Cc]alle|CALLE|C/|Avda\.|Av\.|Avenida|AVENIDA|AVDA\.|[Pp]laza|PLAZA|Pza\.|Paseo)(?:{_G}(?:(?i:de|del|la|las|los|el|y)|{_UP}{_W}*)){{1,6}},?{_G}(?:n(?:º|°|\.|=C2=BA|=BA){_O})?\d{{1,4}}(?!\w)(?:,{_G}(?:\d{{1,2}}(?:º|°|ª|=C2=BA|=BA){_O}[A-Z](?!\w)|bajo|(?:á|=C3=A1)tico|entresuelo))?"
+    rf"(?<!\w)(?:[Cc]alle|CALLE|C/|Avda\.|Av\.|Avenida|AVENIDA|AVDA\.|[Pp]laza|PLAZA|Pza\.|Paseo)(?:{_G}(?:(?i:de|del|la|las|los|el|y)|{_UP}{_WS})){{1,6}},?{_G}(?:n(?:º|°|\.|=C2=BA|=BA){_O})?\d{{1,4}}(?!\w)(?:,{_G}(?:\d{{1,2}}(?:º|°|ª|=C2=BA|=BA){_O}[A-Z](?!\w)|bajo|(?:á|=C3=A1)tico|entresuelo))?"
 )
-_HOUSE_END = re.compile(r"(?:aße|asse|TRASSE|STRAßE|9Fe|DFe|str\.|weg|gasse|allee|platz|ring|damm|ufer|grund|steig|pfad|markt|wall)[ \t\xa0\x1f]+\d")
+_HOUSE_END = re.compile(r"(?:aße|asse|TRASSE|STRAßE|9Fe|DFe|str\.|weg|gasse|allee|platz|ring|damm|ufer|grund|steig|pfad|markt|wall)[ \t\xa0\x1f]+\d\Z")
 _STREETS = ("Calle", "calle", "CALLE", "C/", "Avda", "AVDA", "Av.", "Avenida", "AVENIDA", "laza", "PLAZA", "Pza", "Paseo")
 
-_WORD = re.compile(r"(?<![\w@.'’=/+-])[A-ZÀ-ÞŠŽ][\w'’]*(?:-[A-Z][\w'’]*)*(?![\w@])")
+_WORD = re.compile(r"[A-ZÀ-ÞŠŽ](?<![\w@.'’=/+-].)[\w'’]*(?:-[A-Z][\w'’]*)*(?![\w@])")
 _PARTICLE = r"(?:(?i:De(?:{0})la|Van(?:{0})der|Van(?:{0})den|Von(?:{0})der|De(?:{0})los|Von|Van|Del|Di|Da|Dos|Mac){0})?".replace("{0}", _G)
 _NEXT = re.compile(rf"(?:({_G})[A-Z]\.)?({_G})({_PARTICLE}([A-ZÀ-ÞŠŽ][\w'’]*(?:-[A-Z][\w'’]*)*))(?![\w@])(?!\.\w|[+][\w])")
 _COMMA = re.compile(rf",{_G}([A-ZÀ-ÞŠŽ][\w'’]*(?:-[A-Z][\w'’]*)*)({_G}[A-Z]\.)?(?![\w@])")
@@ -131,6 +139,7 @@ _LOWER = re.compile(rf"\x1f[ \t]*(([a-zà-ÿ]{{2,}}(?:-[a-z]+)?)((?:{_G}[a-z]\.)
 
 
 _MIDDLE = re.compile(rf"\A{_G}[a-z]\.")
+_BLANKS = " \t\xa0\x1f"
 
 
 def _same_length(m: re.Match) -> str:
@@ -145,9 +154,13 @@ def _blank(m: re.Match) -> str:
     return "\x00" * len(m.group())
 
 
+def _blank_lines(m: re.Match) -> str:
+    return "\n" + "\x00" * (len(m.group()) - 1)
+
+
 def readable(text: str) -> str:
     """The text with attachments and line ends blanked, each to its own length; a line end is \\x1f and blanks, what is left out is \\x00."""
-    t = _BASE64.sub(_blank, text)
+    t = _BASE64.sub(_blank_lines, "\n" + text)[1:]
     if "begin " in t:
         t = _UUENCODE.sub(_blank, t)
     if "\r" in t:
@@ -236,13 +249,24 @@ def _before(pattern: re.Pattern, t: str, at: int, width: int = 80) -> re.Match |
         width *= 8
 
 
+def _local(t: str, at: int) -> re.Match | None:
+    """The match of the local part that ends at `at`."""
+    width = 40
+    while True:
+        low = max(0, at - width)
+        run = len(t[low:at].rstrip(_LOCAL_CHARS))
+        if run or not low:
+            return _LOCAL_END.match(t, low + run, at)
+        width *= 8
+
+
 def _emails(t: str) -> list[tuple[int, int]]:
     out = []
     fields: dict[int, bool] = {}
     at = t.find("@")
     while at >= 0:
         domain = _DOMAIN.match(t, at)
-        local = domain and _before(_LOCAL_END, t, at)
+        local = domain and _local(t, at)
         if local and not _is_identifier(t, local.start(1), fields):
             out.append((local.start(1), domain.end()))
         at = t.find("@", domain.end() if domain else at + 1)
@@ -269,13 +293,64 @@ def _places(t: str, parts: Iterable[str]) -> list[int]:
     return out
 
 
-def _ids(t: str) -> list[tuple[int, int]]:
-    out = [m.span() for m in _BARE_ID.finditer(t)]
+def _numbers(t: str) -> list[tuple[int, int]]:
+    """The runs of digits."""
+    try:
+        coded = t.encode("latin-1")
+    except UnicodeEncodeError:
+        # there may be digits of other scripts
+        return [m.span() for m in _NUMBER.finditer(t)]
+    digit = np.frombuffer(b"\0" + coded.translate(_IS_DIGIT) + b"\0", np.int8)
+    edges = np.flatnonzero(digit[1:] != digit[:-1]).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
+def _bare_ids(t: str, numbers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The values that need no label. numbers: the runs of digits, which tell where one can begin."""
+    out = []
     done = 0
-    for at in sorted(_places(t.lower(), _HINTS) + _places(t, _SHORT_HINTS)):
+    for s, e in numbers:
+        n = e - s
+        if n == 2:
+            if s < 3 or t[s - 1] not in " -" or not "A" <= t[s - 2] <= "Z":
+                continue
+            s -= 3
+        elif n == 1:
+            if t[s] not in "12" or t[e : e + 1] not in _BLANKS:
+                continue
+        elif n == 6 and s > 1:
+            s -= 2
+        elif n == 7 and s:
+            s -= 1
+        else:
+            continue
+        m = _BARE_ID.match(t, s) if s >= done else None
+        if m:
+            out.append(m.span())
+            done = m.end()
+    return out
+
+
+def _label(t: str, at: int, done: int) -> re.Match | None:
+    """The label, from `done` on, that holds what stands at `at`."""
+    starts = range(max(done, at - _LABEL_STARTS), at + 1)
+    # two words, and the gap between them: of the second one, up to two letters stand before `at`
+    for low in (at - 2, at - 1, at):
+        before = t[max(0, low - LABEL_REACH) : max(0, low)]
+        gap = len(before) - len(before.rstrip(_BLANKS))
+        if gap:
+            starts = [*range(max(done, low - gap - _LABEL_GAP_STARTS), low - gap), *starts]
+    return next((m for s in sorted(starts) if (m := _LABEL.match(t, s, at + LABEL_REACH)) and m.end() > at), None)
+
+
+def _ids(t: str, numbers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = _bare_ids(t, numbers)
+    done = 0
+    # of all letters only this one changes its length
+    for at in sorted(_places(t.replace("\u0130", "i").lower(), _HINTS) + _places(t, _SHORT_HINTS)):
         if at < done:
             continue
-        label = _LABEL.search(t, max(0, done, at - LABEL_REACH), at + LABEL_REACH)
+        label = _label(t, at, done)
         if not label:
             continue
         done = label.end()
@@ -308,11 +383,24 @@ def _in_encoded(t: str, at: int) -> bool:
     return bool(_ENCODED.match(t, at - 1) or _ENCODED.match(t, at - 2))
 
 
-def _phones(t: str) -> list[tuple[int, int]]:
+def _phones(t: str, numbers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    # how many digits follow each other from a run of digits on, with nothing else between than a phone number has; many before an extension
+    follow = [0] * len(numbers)
+    digits, after = 0, len(t)
+    for k in range(len(numbers) - 1, -1, -1):
+        s, e = numbers[k]
+        rest = t[e:after].lstrip(_PHONE_GAPS)
+        digits = e - s + (9 if rest and rest[0] in _EXTENSIONS else 0 if rest else digits)
+        follow[k], after = digits, s
     out = []
     done = 0
-    for start in _PHONE_START.finditer(t):
-        m = _PHONE.match(t, start.start()) if start.start() >= done else None
+    for k, (s, _) in enumerate(numbers):
+        if follow[k] < 9:
+            continue
+        m = None
+        for start in range(s - 2 if t[max(0, s - 2) : s] == "(+" else s - 1 if t[max(0, s - 1) : s] in ("+", "(") else s, s + 1):
+            if start >= done and not (start and ((c := t[start - 1]).isalnum() or c in "_.@/=#-")) and (m := _PHONE.match(t, start)):
+                break
         if not m:
             continue
         s, e = m.span()
@@ -330,17 +418,27 @@ def _phones(t: str) -> list[tuple[int, int]]:
     return out
 
 
-def _addresses(t: str) -> list[tuple[int, int]]:
+def _addresses(t: str, numbers: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out = []
-    for m in _HOUSE_FIRST.finditer(t):
-        flat = _FLAT.search(t, max(0, m.start() - 30), m.start())
-        out.append((flat.start() if flat else m.start(), m.end()))
-    at = 0
-    for end in _HOUSE_END.finditer(t):
-        m = _HOUSE_LAST.search(t, max(at, end.start() - 60), end.end() + 60)
-        if m and m.end() >= end.end():
-            out.append(m.span())
-            at = m.end()
+    first = last = ended = 0
+    for s, e in numbers:
+        before, after = t[s - 1] if s else "", t[e : e + 1]
+        if e - s <= 4 and s >= first and after and (after in " \t\xa0\x1f," or after.isalpha()) and not (before and (before.isalnum() or before in "_./-")) and (m := _HOUSE_FIRST.match(t, s)):
+            flat = _FLAT.search(t, max(0, s - 30), s)
+            out.append((flat.start() if flat else s, m.end()))
+            first = m.end()
+        if before and before in _BLANKS:
+            word = s - 1
+            while word and t[word - 1] in _BLANKS:
+                word -= 1
+            end = _HOUSE_END.search(t, max(ended, word - 6), s + 1) if word and t[word - 1] in "eE.gzmrdtl" else None
+            if not end:
+                continue
+            ended = end.end()
+            m = _HOUSE_LAST.search(t, max(last, end.start() - 60), ended + 60)
+            if m and m.end() >= ended:
+                out.append(m.span())
+                last = m.end()
     if any(x in t for x in _STREETS):
         out += [m.span() for m in _HOUSE_SPANISH.finditer(t)]
     for m in _HOUSE_PLACED.finditer(t):
@@ -355,13 +453,15 @@ def _addresses(t: str) -> list[tuple[int, int]]:
 def _names(t: str, lex: Lexicon) -> list[tuple[int, int]]:
     out = []
     at = 0
-    given, family = lex.given, lex.family
+    given, family, pairs = lex.given, lex.family, lex.pairs
     for m in _WORD.finditer(t):
+        w = m[0]
+        low = w.lower()
+        if not (low in given or low in family or low in pairs or "-" in low):
+            continue
         s, e = m.span()
         if s < at:
             continue
-        w = m.group()
-        low = w.lower()
         if low in given or "-" in low and lex.is_given(low):
             n = _NEXT.match(t, e)
             if n:
@@ -378,7 +478,7 @@ def _names(t: str, lex: Lexicon) -> list[tuple[int, int]]:
                         out.append((s, n2.end(3)))
                         at = n2.end(3)
                         continue
-        elif lex.pairs.get(low):
+        elif pairs.get(low):
             n = _NEXT.match(t, e)
             if n and lex.is_pair(low, n.group(3)):
                 out.append((s, n.end(3)))
@@ -417,8 +517,9 @@ def detect(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     if not text or text.isspace():
         return []
     t = readable(text)
+    numbers = _numbers(t)
     taken: list[tuple[int, int, str]] = []
-    for kind, spans in (("email", _emails(t)), ("id_number", _ids(t)), ("address", _addresses(t)), ("phone", _phones(t)), ("name", _names(t, lex))):
+    for kind, spans in (("email", _emails(t)), ("id_number", _ids(t, numbers)), ("address", _addresses(t, numbers)), ("phone", _phones(t, numbers)), ("name", _names(t, lex))):
         for s, e in spans:
             # those taken are in order and apart, so only the neighbours can overlap
             at = bisect.bisect_left(taken, (s,))
@@ -427,11 +528,12 @@ def detect(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     return taken
 
 
-_DISPLAY = r"(?<![\p{L}'’-])([\p{Lu}][\p{L}'’-]+) ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+) <([^<>\s@]+)@"
+# each looks back only where the next characters fit, since that costs more than all the rest
+_DISPLAY = r"(?=[\p{Lu}])(?<![\p{L}'’-])([\p{Lu}][\p{L}'’-]+) ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+) <([^<>\s@]+)@"
 _QUOTED = r'"((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}\'’-]+), ([\p{Lu}][\p{L}\'’-]+)" <([^<>\s@]+)@'
-_COMMENT = r"@(?:(?<=(?<![\w.+-])([\w.+-]{1,64})@))?[\w.-]+ \(([\p{Lu}][\p{L}'’-]+) ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+)\)"
+_COMMENT = r"@(?=[\w.-]+ \([\p{Lu}])(?:(?<=(?<![\w.+-])([\w.+-]{1,64})@))?[\w.-]+ \(([\p{Lu}][\p{L}'’-]+) ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+)\)"
 _COMMENTED = r"^([^@]*)@[\w.-]+ \(([\p{Lu}][\p{L}'’-]+) (.+)\)$"
-_SHORT = r"(?<![\p{L}.'’-])([\p{Lu}])\. ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+)"
+_SHORT = r"(?=[\p{Lu}]\. )(?<![\p{L}.'’-])([\p{Lu}])\. ((?:(?:De la|Van der|Van den|Von der|Von|Van|Del) )?[\p{Lu}][\p{L}'’-]+)"
 # fixed values: accented letters and what addresses have for them; beginnings of family names that a display pattern may take for a given name
 _ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýšž", "aaaaaaceeeeiiiinoooooouuuuysz"
 PARTICLES = frozenset("da de del den der di dos la las los mac van von".split())
@@ -465,16 +567,18 @@ def lexicon_entries(documents: DataFrame, name_parts: DataFrame, text: str = "te
     "Family, Given", or by an initial with the family name in any text.
     """
 
-    def matches(pattern: str, group: int = 0) -> Column:
-        return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    def matches(pattern: str, within: str, group: int = 0) -> Column:
+        # within: what every match holds; texts without it needn't be searched
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+        return F.when(F.col(text).contains(within), found).otherwise(F.array().cast("array<string>"))
 
     def part(form: str, given: int, family: int, local: int, pattern: str) -> Column:
         at = [F.lower(F.regexp_extract("m", pattern, i) if i else F.lit("")).alias(n) for n, i in (("g", given), ("f", family), ("local", local))]
         return F.struct(F.lit(form).alias("form"), *at)
 
     # the texts are searched once per pattern (comments twice, for the local part before them); the parts are taken from the matches
-    comments = F.zip_with(matches(_COMMENT, 1), matches(_COMMENT), lambda local, m: F.concat(local, m))
-    beside = F.array_distinct(F.concat(matches(_DISPLAY), matches(_QUOTED), comments, matches(_SHORT)))
+    comments = F.zip_with(matches(_COMMENT, " (", 1), matches(_COMMENT, " ("), lambda local, m: F.concat(local, m))
+    beside = F.array_distinct(F.concat(matches(_DISPLAY, " <"), matches(_QUOTED, '" <'), comments, matches(_SHORT, ". ")))
     found = documents.where(F.col(text).isNotNull()).select(F.explode(beside).alias("m"))
     forms = F.when(F.col("m").startswith('"'), part("quoted", 2, 1, 3, _QUOTED)).when(F.col("m").endswith(")"), part("comment", 2, 3, 1, _COMMENTED)).when(F.substring("m", 2, 1) == ".", part("short", 1, 2, 0, _SHORT))
     parts = forms.otherwise(part("plain", 1, 2, 3, _DISPLAY))

@@ -4,6 +4,7 @@ import base64
 import math
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -322,6 +323,29 @@ def test_values_of_any_length():
     assert got == [f"{local}@core.example", f"{local} (at) core (dot) example", "X4756294", "X4756295", "X4756296", "X1234567"]
 
 
+def test_places_and_cost_of_labels():
+    # a letter that is two in lower case moves no label
+    text = "\u0130" * 700 + " passport number: X4756294, n=C3=BAmero fiscal 123456789"
+    assert [text[a:b] for a, b, _ in pii.detect(text, LEX)] == ["X4756294", "123456789"]
+
+    # a word that only looks like a label costs no search of all that is around it
+    def seconds(f) -> float:
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    text = "taxi " * 2_000
+    searched = seconds(lambda: [pii._LABEL.search(text, max(0, at - pii.LABEL_REACH), at + pii.LABEL_REACH) for at in range(0, len(text), 5)])
+    assert seconds(lambda: pii.detect(text, LEX)) < searched / 3
+
+
+def test_numbers_at_the_edges_of_texts():
+    got = [(k, t[a:b]) for t in ("(+49) 30 23125-543", "AB 12 34 56 C", "X1234567L", "12 bis, rue du Pont", "020 7946 0496 ext. 12345", "((020) 7946 0496", "weg 5", "１２ x 5", "7") for a, b, k in pii.detect(t, LEX)]
+    assert got == [
+        ("phone", "(+49) 30 23125-543"), ("id_number", "AB 12 34 56 C"), ("id_number", "X1234567L"), ("address", "12 bis, rue du Pont"), ("phone", "020 7946 0496 ext. 12345"), ("phone", "(020) 7946 0496"),
+    ]
+
+
 def test_names_beyond_the_shared_lexicon_are_found_too(spark):
     people = [(g, f) for g in ("Anna", "Bert", "Clara-Marie", "Dora") for f in ("Aldous", "Van der Brill", "Cress-Holm")] + [("Zora", "Quill")]
     texts = [f"From: {g} {f} <{g[0].lower()}.{f.split()[-1].lower()}@core.example>\n{f}, {g} met\n{g.upper()} {f.upper()} and Dora Aldous" for g, f in people]
